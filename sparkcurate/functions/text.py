@@ -141,7 +141,7 @@ def tokens_grounded(evidence_tokens: Column, ticket_tokens: Column) -> Column:
     n = F.size(evidence_tokens)
     shared = F.size(F.array_intersect(evidence_tokens, ticket_tokens))
     enough = shared >= F.greatest(F.lit(3.0), F.round(n * F.lit(0.6)))
-    return (n > 0) & (enough | ((n <= 3) & (shared == n)))
+    return F.coalesce((n > 0) & (enough | ((n <= 3) & (shared == n))), F.lit(False))
 
 
 def is_grounded(evidence: Column, ticket_tokens: Column) -> Column:
