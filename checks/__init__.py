@@ -4,7 +4,7 @@ import importlib
 
 from checks.base import ORACLES, QUERIES
 
-for _name in ("evaluation", "texts", "records", "chat"):
+for _name in ("evaluation", "texts", "records", "chat", "rules", "reports"):
     importlib.import_module(f"checks.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -54,8 +54,9 @@ def compare(spark, con, sf_dir: str, name: str, build, sql: str | None) -> str:
     kinds = {d[0]: str(d[1]) for d in result.description}
     right = rows_of(columns, result.fetchall())
     if left != right:
-        extra = [r for r in left if r not in set(right)][:2]
-        missing = [r for r in right if r not in set(left)][:2]
+        ours, theirs = set(left), set(right)
+        extra = [r for r in left if r not in theirs][:2]
+        missing = [r for r in right if r not in ours][:2]
         return f"{len(left)} vs {len(right)} rows; {sorted(columns)} spark {extra} sql {missing}"
     spark_kinds = dict(df.dtypes)
     odd = [f"{c}: {spark_kinds[c]} vs {kinds[c]}" for c in columns

@@ -23,8 +23,9 @@ def rate_within(condition: Column, subset: Column) -> Column:
 
 
 def clamp(value: Column, low: float = 1.0, high: float = 5.0) -> Column:
-    """Limit a score to the rubric range."""
-    return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), value))
+    """Limit a score to the rubric range; NULL stays NULL (``greatest`` alone would skip it)."""
+    limited = F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), value))
+    return F.when(value.isNotNull(), limited)
 
 
 def ten_scale(score: Column) -> Column:
