@@ -4,7 +4,8 @@ import importlib
 
 from checks.base import ORACLES, QUERIES
 
-for _name in ("evaluation", "texts", "records", "chat", "rules", "reports"):
+for _name in ("evaluation", "texts", "records", "chat", "rules", "reports", "lookups",
+              "generation", "streams"):
     importlib.import_module(f"checks.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

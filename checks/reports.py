@@ -154,12 +154,12 @@ def heuristic_judge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT event_id, CASE event_id % 4 WHEN 3 THEN 3::DOUBLE WHEN 2 THEN 3::DOUBLE
-    ELSE least(5::DOUBLE, greatest(1::DOUBLE, round(value / 10, 2))) END AS tone,
+    ELSE least(5::DOUBLE, greatest(1::DOUBLE, floor(value) / 4)) END AS tone,
   CASE WHEN event_id % 4 = 0 AND value < 10 THEN 'A' WHEN event_id % 4 = 0 AND value < 20 THEN 'B' ELSE 'tie' END AS winner FROM events""")
 def judge_parse(spark: SparkSession, sf: str) -> DataFrame:
     """TX22, TX23: judge replies with noise, missing values, broken and trailing text."""
     i, v = F.col("event_id"), F.col("value")
-    number = F.round(v / 10, 2).cast("string")
+    number = (F.floor(v) / 4).cast("string")
     won = F.when(v < 10, " a ").when(v < 20, "B").otherwise("none")
     reply = (
         F.when(i % 4 == 0, F.concat(F.lit('Sure: {"tone": '), number, F.lit(', "winner": "'), won, F.lit('"} ok')))
