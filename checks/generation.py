@@ -53,7 +53,7 @@ c AS (SELECT *, replace(replace({_by_label({k: "'" + v + "'" for k, v in KIT.ope
 
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """One attempt per event, labels in turn."""
-    rows = table(spark, sf, "events").select(F.col("event_id").alias("attempt"))
+    rows = table(spark, sf, "events", "event_id").select(F.col("event_id").alias("attempt"))
     return rows.withColumn("label", G.cycled_label(LABELS, F.col("attempt")))
 
 
@@ -218,7 +218,7 @@ def classified_tickets(spark: SparkSession, sf: str) -> DataFrame:
     """GE11: tickets answered by rule; whole documents with a cue sentence in front or without."""
     text = F.col("text")
     cue = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("It is in airplane mode. "), text)).otherwise(text)
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents", "doc_id", "text")
     docs = docs.where(~(F.lower("text").contains("abroad") | F.lower("text").contains("borrowed")))
     tickets = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), cue.alias("complaint"))
     made = G.classify_tickets(tickets, KIT)

@@ -71,7 +71,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
         F.when(i % 23 == 0, "no json here")
         .when(i % 29 == 0, F.substr(full, F.lit(1), F.length(full) - 5)).otherwise(full)
     )
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id", "lang", "source", "text").select(
         i.alias("id"), F.col("lang").alias("slice"), F.col("source").alias("run"),
         text.alias("complaint"), answer.alias("answer"),
         F.get(X.strings((*LABELS, ABSTAIN)), (i % 4).cast("int")).alias("gold_rc"), none.alias("note"))

@@ -55,7 +55,7 @@ SELECT doc_id, md5(norm) AS norm, len({tokens_sql("norm")}) AS n_tokens,
        array_to_string(list_sort({tokens_sql("norm")}), ' ') AS tokens FROM n""")
 def normalise_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """TX4, TX5, SO3: normalised text and its content tokens."""
-    rows = table(spark, sf, "documents").select("doc_id", X.normalise(F.col("text")).alias("norm"))
+    rows = table(spark, sf, "documents", "doc_id", "text").select("doc_id", X.normalise(F.col("text")).alias("norm"))
     rows = rows.withColumn("t", X.norm_tokens(F.col("norm")))
     return rows.select("doc_id", F.md5("norm").alias("norm"), F.size("t").alias("n_tokens"),
                        F.array_join(F.array_sort("t"), " ").alias("tokens"))
@@ -68,7 +68,7 @@ SELECT doc_id, array_to_string({detected_sql("norm")}, '|') AS labels,
 FROM n""")
 def cue_labels(spark: SparkSession, sf: str) -> DataFrame:
     """TX6, JO7, FI5: labels by phrase signatures."""
-    rows = table(spark, sf, "documents").select("doc_id", X.normalise(F.col("text")).alias("norm"))
+    rows = table(spark, sf, "documents", "doc_id", "text").select("doc_id", X.normalise(F.col("text")).alias("norm"))
     labels = X.detect_labels(F.col("norm"), SIGNATURES)
     return rows.select("doc_id", F.array_join(labels, "|").alias("labels"),
                        F.size(labels).alias("n_labels"),
@@ -94,9 +94,9 @@ UNION ALL
 SELECT 'p' || page_id, array_to_string({_hits_sql("html")}, '|'), len({_hits_sql("html")}) FROM pages""")
 def pattern_hits(spark: SparkSession, sf: str) -> DataFrame:
     """TX7, TX8: all matches of a pattern list, over whole texts."""
-    docs = table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents", "doc_id", "text").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
-    pages = table(spark, sf, "pages").select(
+    pages = table(spark, sf, "pages", "page_id", "html").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
     rows = docs.unionByName(pages).withColumn(
         "h", X.pattern_hits(F.col("text"), (MAIL, LICENCE, SCRIPT)))
@@ -112,7 +112,7 @@ SELECT e.doc_id, {grounded_sql("e.own", "d.t")} AS in_own,
 FROM e JOIN d USING (doc_id) LEFT JOIN d o ON o.doc_id = e.other""")
 def grounding(spark: SparkSession, sf: str) -> DataFrame:
     """TX9: whether a document's head is grounded in itself and in its predecessor."""
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents", "doc_id", "text")
     ticket = docs.select("doc_id", X.content_tokens(F.col("text")).alias("t"))
     heads = docs.select("doc_id", X.content_tokens(F.substring("text", 1, 80)).alias("own"))
     previous = ticket.select((F.col("doc_id") + 1).alias("doc_id"), F.col("t").alias("p"))
@@ -127,7 +127,7 @@ WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+', 0) AS w F
 SELECT doc_id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS words FROM w""")
 def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """TX26: the word tokeniser."""
-    rows = table(spark, sf, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
+    rows = table(spark, sf, "documents", "doc_id", "text").select("doc_id", X.words(F.col("text")).alias("w"))
     return rows.select("doc_id", F.size("w").alias("n_words"),
                        F.md5(F.array_join("w", " ")).alias("words"))
 
@@ -147,7 +147,7 @@ SELECT doc_id, n_sentences, array_to_string(CASE WHEN len(picked) > 0 THEN picke
 def evidence_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """TX27, TK5: sentences with a cue, at most three, else the head of the text."""
     text = F.col("text")
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.size(X.sentences(text)).alias("n_sentences"),
         F.array_join(X.cue_sentences(text, CUES), "|").alias("evidence"))
 
@@ -248,7 +248,7 @@ def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
                        F.lit(" </parameter></function></tool_call>"))
     broken = F.lit('<tool_call>{"name": oops</tool_call>')
     text = F.when(c("event_id") % 5 == 4, broken).when(c("event_id") % 2 == 0, as_json).otherwise(as_tags)
-    rows = table(spark, sf, "events").select("event_id", F.concat(F.lit("ok "), text).alias("t"))
+    rows = table(spark, sf, "events", "event_id", "event_type", "props").select("event_id", F.concat(F.lit("ok "), text).alias("t"))
     calls = rows.select("event_id", A.looks_like_tool_call(c("t")).alias("looks_like"),
                         F.explode(A.tool_calls(c("t"))).alias("call"))
     return calls.select("event_id", c("call.name").alias("name"), c("call.arguments")["k"].alias("k"),

@@ -88,3 +88,15 @@ def pin(df: DataFrame) -> DataFrame:
     they neither shuffle nor copy rows; unused columns are still pruned.
     """
     return df.observe(f"rows-{uuid.uuid4().hex}", count(lit(1)).alias("rows"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give CPU-heavy row-local work all cores when a scan has fewer partitions than cores.
+
+    Meant for plain scans. A large input has more splits than cores and is returned unchanged, so
+    nothing is shuffled at scale; a small single file would otherwise keep one core busy.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
