@@ -65,8 +65,9 @@ def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: str,
         raise ValueError(f"unknown on_error {on_error!r}")
     rows = decode(_text(spark, paths, empty_ok), schema)
     if on_error == "fail":
-        bad = F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("file")))
-        rows = rows.withColumn("row", F.when(F.col("decoded"), F.col("row")).otherwise(bad))
+        # as a filter, so that no column pruning can skip the check
+        bad = F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("file"))).cast("boolean")
+        rows = rows.where(F.when(F.col("decoded"), F.lit(True)).otherwise(bad))
     elif on_error == "drop":
         rows = rows.where("decoded")
     return rows.select("file", "value", "decoded", "row.*")
