@@ -323,26 +323,35 @@ def build_cases(attempts: DataFrame, kit: CaseKit, seed: int, key: str = "attemp
     return with_answer(made.unionByName(routed))
 
 
-def first_accepted(judged: DataFrame, n: int, key: str = "attempt",
-                   by: Sequence[str] = (), chunk: int = 1_000_000) -> DataFrame:
-    """The first n accepted attempts (per group), numbered from 0; too few is an error.
+def first_accepted(judged: DataFrame, wanted: int | Mapping[str, int], key: str = "attempt",
+                   group: str | None = None, chunk: int = 1_000_000) -> DataFrame:
+    """The first accepted attempts (as many as wanted, per group), numbered from 0.
 
-    Numbering works on ranges of attempts, so a group of any size is spread over many tasks. The
-    accepted rows are stored once: the count, the check and the result all read that table.
+    Too few is an error. Numbering works on ranges of attempts, so a group of any size is spread
+    over many tasks. The accepted rows are stored once: the count, the check and the result all
+    read that table.
     """
     accepted = cut_lineage(judged.where("verdict.ok"))
-    sizes = accepted.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    if (not by and accepted.isEmpty()) or not sizes.where(F.col("n") < n).isEmpty():
-        raise ValueError("too few accepted attempts: over-generate more")
-    numbered = number_rows(accepted, key, "_no", chunk, by)
-    return numbered.where(F.col("_no") <= n).withColumn("seq", F.col("_no") - 1).drop("_no")
-
-
-def record_id(prefix: str, seq: Column) -> Column:
+    if group is None:
+        found, needed, limit = {"": accepted.count()}, {"": wanted}, F.lit(wanted)
+    else:
+        sizes = accepted.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+        found = {r[group]: r["n"] for r in sizes.where(F.col(group).isin(*wanted)).collect()}
+        needed = dict(wanted)
+        pairs = [F.lit(x) for item in needed.items() for x in item]
+        limit = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(group)), F.lit(0))
+    short = {k: n - found.get(k, 0) for k, n in needed.items() if found.get(k, 0) < n}
+    if short:
+        raise ValueError(f"too few accepted attempts, over-generate more: {short}")
+    numbered = number_rows(accepted, key, "_no", chunk, (group,) if group else ())
+    return numbered.where(F.col("_no") <= limit).withColumn("seq", F.col("_no") - 1).drop("_no")
+
+
+def record_id(prefix: str | Column, seq: Column) -> Column:
     """``prefix-00042``: at least five digits, longer numbers are kept whole."""
     digits = seq.cast("string")
     padded = F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits)
-    return F.concat(F.lit(f"{prefix}-"), padded)
+    return F.concat(F.lit(prefix) if isinstance(prefix, str) else prefix, F.lit("-"), padded)
 
 
 def _metadata(kit: CaseKit) -> dict[str, Column]:
@@ -350,7 +359,7 @@ def _metadata(kit: CaseKit) -> dict[str, Column]:
             "audit_status": F.lit(AUDIT)}
 
 
-def sft_records(cases: DataFrame, kit: CaseKit, prefix: str,
+def sft_records(cases: DataFrame, kit: CaseKit, prefix: str | Column,
                 mode: Column | None = None) -> DataFrame:
     """Chat records (system, ticket, answer) of numbered cases."""
     tag = mode if mode is not None else kit.text(F.col("label"), kit.slices)

@@ -98,7 +98,7 @@ def preference_records(pairs: DataFrame, kit: CaseKit, seq: str = "seq") -> Data
     """Preference records with prompt, chosen and rejected message lists."""
     tag = kit.text(F.col("label"), kit.slices)
     return pairs.select(
-        F.concat(F.lit("dpo-"), F.col("bad_type"), record_id("", F.col(seq))).alias("id"),
+        record_id(F.concat(F.lit("dpo-"), F.col("bad_type")), F.col(seq)).alias("id"),
         F.lit("preference").alias("data_type"), tag.alias("mode"), F.lit(PERSONA).alias("persona"),
         "bad_type", F.lit(LANG).alias("lang"), F.lit(kit.version).alias("version"),
         F.lit(AUDIT).alias("audit_status"),

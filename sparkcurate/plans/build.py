@@ -19,15 +19,8 @@ from sparkcurate.operators.split import scaled_mix
 SURPLUS = 1.25
 
 
-def _attempts(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(math.ceil(n * SURPLUS) + 8).withColumnRenamed("id", "attempt")
-
-
-def gated_cases(attempts: DataFrame, kit: G.CaseKit, seed: int, n: int,
-                n_cues: Column | None = None, kind: Column | None = None) -> DataFrame:
-    """The first n attempts that pass the rules."""
-    cases = G.build_cases(attempts, kit, seed, n_cues=n_cues, kind=kind)
-    return G.first_accepted(judge_answers(cases, kit.book), n)
+def _attempts(n: int) -> int:
+    return math.ceil(n * SURPLUS) + 8
 
 
 def parity_kind(key: Column) -> Column:
@@ -71,30 +64,49 @@ def chat_dataset(spark: SparkSession, kit: G.CaseKit, seed: int, limit: int | No
     if facts is not None and sizes.get("knowledge"):
         parts.append(knowledge_records(facts, kit, sizes["knowledge"]))
     if source != "authored":
-        key = F.col("attempt")
-        groups = {
-            "complaint_resolution": ("sft-cr", None, None),
-            "differential": ("sft-diff", F.lit(2), F.lit("differential")),
-            "distractor": ("sft-dist", D.pick_index(seed, key, "dist", 2) + 2, F.lit("distractor")),
-        }
-        for number, (name, (prefix, cues, mode)) in enumerate(groups.items()):
-            n = max(0, sizes[name] - covered.get(name, 0))
-            if n:
-                label = G.cycled_label(kit.book.labels, key)
-                tried = _attempts(spark, n).withColumn("label", label)
-                cases = gated_cases(tried, kit, seed + number, n, cues)
-                parts.append(G.sft_records(cases, kit, prefix, mode))
-        n = max(0, sizes["abstention"] - covered["abstention"])
-        if n:
-            tried = _attempts(spark, n).withColumn("label", F.lit(kit.book.abstain))
-            cases = gated_cases(tried, kit, seed, n, kind=parity_kind(key))
-            parts.append(G.sft_records(cases, kit, "sft-abs"))
+        wanted = {g: max(0, sizes.get(g, 0) - covered.get(g, 0)) for g in TEMPLATE_GROUPS}
+        parts.append(template_records(spark, kit, seed, wanted))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+#: Id prefix and slice (None: by label) of the groups made from templates.
+TEMPLATE_GROUPS = {
+    "complaint_resolution": ("sft-cr", None), "differential": ("sft-diff", "differential"),
+    "distractor": ("sft-dist", "distractor"), "abstention": ("sft-abs", None),
+}
+
+
+def template_records(spark: SparkSession, kit: G.CaseKit, seed: int,
+                     wanted: Mapping[str, int]) -> DataFrame:
+    """Template cases of all groups, drawn and judged in one pass.
+
+    The groups share one attempt range: group g owns a block of it that is larger than wanted.
+    """
+    wanted = {g: n for g, n in wanted.items() if n > 0}
+    key, total = F.col("attempt"), 0
+    group = inside = None
+    for name, n in wanted.items():
+        start, total = total, total + _attempts(n)
+        test = key < total
+        group = F.when(test, name) if group is None else group.when(test, name)
+        inside = F.when(test, key - start) if inside is None else inside.when(test, key - start)
+    rows = spark.range(total).withColumnRenamed("id", "attempt").withColumns(
+        {"group": group, "_i": inside})
+    rows = rows.withColumn("label", F.when(F.col("group") == "abstention", kit.book.abstain)
+                           .otherwise(G.cycled_label(kit.book.labels, F.col("_i"))))
+    cues = F.when(F.col("group") == "differential", F.lit(2)).otherwise(
+        D.pick_index(seed, key, "k", 2) + 2)
+    cases = G.build_cases(rows.drop("_i"), kit, seed, n_cues=cues, kind=parity_kind(key))
+    accepted = G.first_accepted(judge_answers(cases, kit.book), wanted, group="group")
+    prefix = kit.text(F.col("group"), {g: p for g, (p, _) in TEMPLATE_GROUPS.items()})
+    fixed = kit.text(F.col("group"), {g: m for g, (_, m) in TEMPLATE_GROUPS.items() if m})
+    mode = F.coalesce(fixed, kit.text(F.col("label"), kit.slices))
+    return G.sft_records(accepted, kit, prefix, mode)
+
+
 def knowledge_records(facts: DataFrame, kit: G.CaseKit, n: int) -> DataFrame:
     """n question/answer records (no system turn) from numbered facts (``pos`` = 0, 1, …)."""
     from sparkcurate.functions.chat import message
@@ -117,7 +129,8 @@ def preference_dataset(spark: SparkSession, kit: G.CaseKit, seed: int,
     """``per_type`` pairs of every fault."""
     labels, abstain = kit.book.labels, kit.book.abstain
     key = F.col("attempt")
-    tried = _attempts(spark, per_type * len(FAULTS)).withColumns({
+    tried = spark.range(_attempts(per_type * len(FAULTS))).withColumnRenamed(
+        "id", "attempt").withColumns({
         "bad_type": G.cycled_label(FAULTS, key),
         "label": G.cycled_label(labels, F.floor(key / len(FAULTS))),
     }).withColumn("label", F.when(F.col("bad_type") == "forced_guess", abstain)
@@ -125,7 +138,8 @@ def preference_dataset(spark: SparkSession, kit: G.CaseKit, seed: int,
                   .when(F.col("bad_type") == "overpromise", labels[-1])
                   .otherwise(F.col("label")))
     judged = judge_answers(G.build_cases(tried, kit, seed), kit.book)
-    accepted = G.first_accepted(judged, per_type, by=("bad_type",)).drop("seq")
+    wanted = {fault: per_type for fault in FAULTS}
+    accepted = G.first_accepted(judged, wanted, group="bad_type").drop("seq")
     numbered = number_rows(accepted, "attempt", "_no").withColumn("seq", F.col("_no") - 1)
     return preference_records(corrupt(numbered, kit, seed), kit)
 
