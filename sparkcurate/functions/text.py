@@ -87,8 +87,11 @@ def content_tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Colu
 
 
 def words(text: Column) -> Column:
-    """All ``[a-z0-9]+`` words of the lower-cased text, with repeats."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+    """All ``[a-z0-9]+`` words of the lower-cased text, with repeats.
+
+    The words of the normalised text are the same ones, and splitting is faster than matching.
+    """
+    return F.array_remove(F.split(normalise(text), " "), "")
 
 
 def space_tokens(text: Column) -> Column:
