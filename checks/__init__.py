@@ -5,7 +5,7 @@ import importlib
 from checks.base import ORACLES, QUERIES
 
 for _name in ("evaluation", "texts", "records", "chat", "rules", "reports", "lookups",
-              "generation", "streams"):
+              "generation", "streams", "files"):
     importlib.import_module(f"checks.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

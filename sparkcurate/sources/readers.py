@@ -136,7 +136,7 @@ def read_reports(spark: SparkSession, root: str, schema: str = S.KPI_REPORT) ->
     """``<root>/<run>/report.json`` files, run from the folder name; unreadable ones are skipped."""
     raw = spark.read.schema(f"{schema}, _bad STRING").option("multiLine", True).option(
         "columnNameOfCorruptRecord", "_bad").json(f"{root.rstrip('/')}/*/report.json")
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/report\.json$", 1)
+    run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/report\.json(?:/[^/]+)?$", 1)
     return raw.select(run.alias("run"), "*").where(F.col("_bad").isNull()).drop("_bad")
 
 
