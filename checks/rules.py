@@ -18,6 +18,7 @@ from sparkcurate.functions.chat import think_block
 from sparkcurate.operators import kpi, lookup
 from sparkcurate.operators import rules as R
 from sparkcurate.operators.generate import package_json
+from sparkcurate.session import pin
 
 LABELS, ABSTAIN = ("ALPHA", "BETA", "GAMMA"), "UNDECIDED"
 BOOK = R.RuleBook(
@@ -189,7 +190,8 @@ def rule_disagreement(spark: SparkSession, sf: str) -> DataFrame:
     rows = answers(spark, sf)
     a = R.score_samples(R.judge_answers(rows, BOOK), BOOK).select("id", "pred_rc")
     found = X.detect_labels(F.col("norm"), SIGNATURES)
-    b = rows.select("id", X.normalise(F.col("complaint")).alias("norm")).select("id", found.alias("d"))
+    b = pin(rows.select("id", X.normalise(F.col("complaint")).alias("norm")))
+    b = pin(b.select("id", found.alias("d")))
     b = b.select("id", F.when(F.size("d") == 1, F.get("d", F.lit(0))).otherwise(ABSTAIN).alias("pred_rc"))
     return disagreements(a, b, "id")
 

@@ -20,7 +20,7 @@ from sparkcurate.functions.chat import message, think_block
 from sparkcurate.operators.lookup import numbered_ladder, numbered_lines
 from sparkcurate.operators.order import number_rows
 from sparkcurate.operators.rules import RuleBook
-from sparkcurate.session import cut_lineage
+from sparkcurate.session import cut_lineage, pin
 
 # Fixed values. Reasoning styles with their weights, and the default mixture of groups.
 STYLES = (("clean", 0.55), ("selfcorrect", 0.22), ("multihop", 0.23))
@@ -452,8 +452,8 @@ def cycle_to(pairs: DataFrame, order: str, n: int) -> DataFrame:
 def classify_tickets(tickets: DataFrame, kit: CaseKit, ticket: str = "complaint",
                      key: str = "id", seed: int = 0) -> DataFrame:
     """Answer any ticket by rule: exactly one detected label gives its package, else an abstention."""
-    found = tickets.withColumn("_norm", X.normalise(F.coalesce(F.col(ticket), F.lit(""))))
-    found = found.withColumn("detected", X.detect_labels(F.col("_norm"), kit.book.signatures))
+    found = pin(tickets.withColumn("_norm", X.normalise(F.coalesce(F.col(ticket), F.lit("")))))
+    found = pin(found.withColumn("detected", X.detect_labels(F.col("_norm"), kit.book.signatures)))
     single = F.size("detected") == 1
     found = found.withColumn("label", F.when(single, F.get("detected", F.lit(0))).otherwise(
         F.lit(kit.book.abstain))).drop("_norm")

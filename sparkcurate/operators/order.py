@@ -119,7 +119,15 @@ def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float],
     place = F.lit(0)
     for i in range(len(spots)):
         place = place + (F.col("v") > F.get("edges", F.lit(i))).cast("int")
-    placed = rows.join(small_side(edges), group).withColumn("slot", place)
+    if by:
+        placed = rows.join(small_side(edges), group)
+    else:  # a single row: constants instead of a join
+        found = edges.first() or {"n": 0, "mean": None, "edges": [None]}
+        placed = rows.withColumns({
+            "n": F.lit(found["n"]), "mean": F.lit(found["mean"]).cast("double"),
+            "edges": F.array(*[F.lit(e).cast("double") for e in found["edges"]]),
+        })
+    placed = placed.withColumn("slot", place)
     slots = placed.groupBy(*group, "slot", "n", "mean").agg(F.count(F.lit(1)).alias("m"))
     upto = Window.partitionBy(*group).orderBy("slot").rowsBetween(
         Window.unboundedPreceding, Window.currentRow

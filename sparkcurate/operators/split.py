@@ -86,7 +86,12 @@ def flat_holdout(df: DataFrame, id_col: str, fraction: float, seed: int,
     take = F.bround(n * F.lit(float(fraction))).cast("long")
     usable = (n >= min_rows) & (take >= 1) & (take < n)
     quotas = keys.groupBy("stratum").agg(F.when(usable, take).otherwise(F.lit(0)).alias("take"))
-    return _mark(df, one, id_col, smallest_key_cut(keys, quotas), seed)
+    cut = smallest_key_cut(keys, quotas).first()  # one row at most: constants instead of a join
+    if cut is None:
+        return df.withColumn("split", F.lit("train"))
+    key = F.struct(digest(seed, F.col(id_col)).alias("h"), F.col(id_col).alias("k"))
+    last = F.struct(F.lit(cut["cut_h"]).alias("h"), F.lit(cut["cut_id"]).alias("k"))
+    return df.withColumn("split", F.when(key <= last, "val").otherwise("train"))
 
 
 def preference_holdout(df: DataFrame, id_col: str, seed: int, fraction: float = 0.1) -> DataFrame:
