@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     On a cluster a machine-local folder would lose data with its machine, so that is an error.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
     if not context.master.startswith("local"):
