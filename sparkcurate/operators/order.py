@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkcurate.session import small_side
 
-#: Leading hex digits of the hash that form the histogram: 65,536 buckets per stratum.
-BUCKET_DIGITS = 4
+#: Leading hex digits of the hash that form the histogram: 4,096 buckets per stratum. Few enough to be
+#: combined before the shuffle, many enough that one bucket of a hot stratum is a normal task.
+BUCKET_DIGITS = 3
 
 
 def smallest_key_cut(keys: DataFrame, quotas: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def smallest_key_cut(keys: DataFrame, quotas: DataFrame) -> DataFrame:
     ``keys``: stratum, h (hex digest), id. ``quotas``: stratum, take. Returns stratum, cut_h, cut_id.
 
     A histogram over the leading digits finds the bucket with the boundary; only rows of that one
-    bucket (about 1/65536 of the stratum) are sorted. Equal keys are counted before the window, so
+    bucket (about 1/4096 of the stratum) are sorted. Equal keys are counted before the window, so
     copies of one id do not pile up, and they always end on the same side.
     """
     bucketed = keys.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
