@@ -30,4 +30,4 @@ def test_entry_gives_rows(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    assert set(entry.queries()) == set(QUERIES)
+    assert set(entry.queries()) >= set(QUERIES)
