@@ -1,8 +1,8 @@
 """All queries of this package by name, with the SQL of those that SQL can express."""
 
-from sparkcurate.llm import simhash
+from sparkcurate.llm import mixing, sharding, simhash
 
-MODULES = (simhash,)
+MODULES = (simhash, mixing, sharding)
 
 QUERIES = {name: build for module in MODULES for name, build in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
