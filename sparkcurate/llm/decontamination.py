@@ -86,17 +86,22 @@ class Index:
             left, self.rare[t] = after, False
         self.left = left
         self.rare_floor = float(left.min()) if len(chunks) else 0.0
+        self.common: list[dict[int, float]] = [{} for _ in chunks]
+        for t in np.flatnonzero(~self.rare).tolist():
+            for number, impact in found[t]:
+                self.common[number][t] = impact
         self.rare_terms = frozenset(w for w, t in self.terms.items() if self.rare[t])
 
-    def search(self, query: list[int]) -> list[tuple[int, float]]:
+    def search(self, query: set[int]) -> list[tuple[int, float]]:
         """All chunks that reach their threshold for a set of terms, by block-max WAND.
 
-        Cursors walk the postings in chunk order. The pivot is the first chunk at which the largest
-        impacts of the lists so far add up to the lowest threshold; if the impacts of the blocks it lies in
-        cannot reach it, everything up to the nearest block end is skipped at once.
+        Cursors walk the postings of the rare terms in chunk order. The pivot is the first chunk at
+        which the largest impacts of the lists so far add up to the lowest bound; if the impacts of the
+        blocks it lies in cannot reach the bound, everything up to the nearest block end is skipped at
+        once. A chunk whose rare terms reach its bound is scored in full.
         """
-        floor, end, hits = self.floor, len(self.ids), []
-        cursors = [[self.postings[t][0][0], t, 0] for t in query]
+        floor, end, hits = self.rare_floor - 1e-9, len(self.ids), []
+        cursors = [[self.postings[t][0][0], t, 0] for t in query if self.rare[t]]
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
@@ -118,16 +123,12 @@ class Index:
                 if b < len(self.blocks[t]):
                     limit += self.blocks[t][b][1]
                     stop = min(stop, self.blocks[t][b][0] + 1)
-            if limit >= floor and limit >= self.thresholds[chunk]:
-                score, target = 0.0, chunk + 1
-                for cursor in cursors[: pivot + 1]:
-                    self._advance(cursor, chunk)
-                    if cursor[0] == chunk:
-                        score += self.postings[cursor[1]][cursor[2]][1]
-                if score >= self.thresholds[chunk]:
-                    hits.append((chunk, score))
-            elif limit >= floor:
+            if limit >= floor:
                 target = chunk + 1
+                if limit >= self.left[chunk] - 1e-9:
+                    score = self._score(cursors[: pivot + 1], chunk, query)
+                    if score >= self.thresholds[chunk]:
+                        hits.append((chunk, score))
             else:
                 following = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end
                 target = max(chunk + 1, min(stop, following))
@@ -136,6 +137,17 @@ class Index:
             cursors = [c for c in cursors if c[0] < end]
         return hits
 
+    def _score(self, cursors: list[list], chunk: int, query: set[int]) -> float:
+        """The score of a chunk; 0 if its rare terms alone rule it out."""
+        score = 0.0
+        for cursor in cursors:
+            self._advance(cursor, chunk)
+            if cursor[0] == chunk:
+                score += self.postings[cursor[1]][cursor[2]][1]
+        if score < self.left[chunk] - 1e-9:
+            return 0.0
+        return score + sum(x for t, x in self.common[chunk].items() if t in query)
+
     def _advance(self, cursor: list, target: int) -> None:
         """Move a cursor to the first posting at or after ``target``, by whole blocks first."""
         _, t, at = cursor
@@ -169,20 +181,15 @@ class Index:
         words = terms_of(text)
         if not self.possible(words):
             return {}
-        get = self.terms.get
-        ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-        safe = np.maximum(ids, 0)
-        gain = np.where((ids >= 0) & self.rare[safe], self.best[safe], 0.0)
-        total = np.concatenate([[0.0], np.cumsum(gain)])
-        step = self.window // 2
-        starts = np.arange(0, max(1, len(ids) - step), step)
-        ends = np.minimum(starts + self.window, len(ids))
         found: dict[int, tuple] = {}
-        for k in np.flatnonzero(total[ends] - total[starts] >= self.rare_floor - 1e-9).tolist():
-            start, end = int(starts[k]), int(ends[k])
-            query = np.unique(ids[start:end])
-            for chunk, score in self.search(query[query >= 0].tolist()):
-                asked, answered = self.shared(chunk, words[start:end])
+        step = self.window // 2
+        for start in range(0, max(1, len(words) - step), step):
+            passage = words[start : start + self.window]
+            if not self.possible(passage):
+                continue
+            query = {self.terms[w] for w in self.terms.keys() & set(passage)}
+            for chunk, score in self.search(query):
+                asked, answered = self.shared(chunk, passage)
                 if asked >= self.overlap and answered >= self.overlap:
                     best = found.get(chunk)
                     if best is None or score > best[0]:
