@@ -296,14 +296,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that contain no benchmark item, columns as given."""
-    for index in build_indexes(benchmark, **options):
-        leaks = own("leaks")
-
+    def leaking(index: Index):
         @F.pandas_udf("boolean")
-        def leaking(texts: pd.Series, index=index) -> pd.Series:
+        def found(texts: pd.Series) -> pd.Series:
             return pd.Series([bool(index.matches(t)) for t in texts], dtype="bool")
 
-        docs = docs.withColumn(leaks, leaking(F.col("text"))).where(~F.col(leaks)).drop(leaks)
+        return found(F.col("text"))
+
+    for index in build_indexes(benchmark, **options):
+        leaks = own("leaks")
+        docs = docs.withColumn(leaks, leaking(index)).where(~F.col(leaks)).drop(leaks)
     return docs
 
 
