@@ -1,8 +1,8 @@
 """All queries of this package by name, with the SQL of those that SQL can express."""
 
-from sparkcurate.llm import decontamination, mixing, sharding, simhash, toxicity
+from sparkcurate.llm import decontamination, mixing, quality, sharding, simhash, toxicity
 
-MODULES = (simhash, mixing, sharding, toxicity, decontamination)
+MODULES = (simhash, mixing, sharding, toxicity, decontamination, quality)
 
 QUERIES = {name: build for module in MODULES for name, build in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
