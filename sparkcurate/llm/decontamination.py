@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm.common import documents, own, stored
+from sparkcurate.llm.common import documents, own, small_batches, stored
 
 #: BM25 constants, postings per block, and words per shingle.
 K1, B, BLOCK, SHINGLE = 1.2, 0.75, 16, 5
@@ -224,7 +224,7 @@ def build_indexes(benchmark: DataFrame, chunk: int = 100, share: float = 0.6, ov
 
     Items with equal ids or texts are indexed once per distinct (id, text). Empty items are left out.
     """
-    items = stored(benchmark.select("item_id", "text").where("text is not null").distinct())
+    items = stored(small_batches(benchmark).select("item_id", "text").where("text is not null").distinct())
 
     def term_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm.common import documents, own, stored
+from sparkcurate.llm.common import documents, own, small_batches, stored
 
 #: Generator polynomial of the binary Golay code of length 23, and the hash seed.
 GOLAY_POLYNOMIAL = 0xC75
@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
+    docs = small_batches(docs)
     rows = stored(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")))
     nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("id")))
     roots = components(fingerprint_links(nodes, segments, radius))

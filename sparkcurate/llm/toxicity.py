@@ -23,14 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm.common import documents, fold, own, stored
+from sparkcurate.llm.common import documents, fold, own, small_batches, stored
 
 #: A token: letters only.
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of the leading letters that are features of their own, if the word is longer.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Words whose features are remembered in a task before it forgets them all.
-CACHE = 500_000
+CACHE = 100_000
 
 
 @dataclass
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, max_feature
     label rows disagree is toxic. Rows with a null id or label are not used. Without documents of both
     labels the model knows no feature and gives every document the same low score.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     truth = stored(
         labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id")) != 0)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
