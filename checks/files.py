@@ -54,13 +54,13 @@ WITH p AS (SELECT u.conv_id, max(u.turn) AS t FROM conversations u JOIN conversa
 SELECT p.conv_id::VARCHAR AS id, 'm' AS mode, u.text AS prompt, a.text AS answer, '' AS reference FROM p
 JOIN conversations u ON u.conv_id = p.conv_id AND u.turn = p.t JOIN conversations a ON a.conv_id = p.conv_id AND a.turn = p.t + 1""")
 def answer_files(spark: SparkSession, sf: str) -> DataFrame:
-    """SC9, SI3, SI6: answer CSV with repeated ids, the last one stays."""
+    """SC9, SI3, SI6: answer CSV written in parallel with repeated ids, the last turn stays."""
     from sparkcurate.operators.turns import next_turns
 
     pairs = next_turns(table(spark, sf, "conversations"), "conv_id")
-    rows = pairs.orderBy("conv_id", "turn").coalesce(1).select(
+    rows = pairs.select(
         F.col("conv_id").cast("string").alias("id"), F.lit("m").alias("mode"), "prompt", "answer",
-        F.lit(None).cast("string").alias("reference"))
+        F.lit(None).cast("string").alias("reference"), F.col("turn").alias("seq"))
     path = fresh_path(spark, "answers")
     W.write_csv(rows, path)
     return R.read_answer_csv(spark, path)
@@ -78,15 +78,12 @@ def stored_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {SAMPLES}, r AS (SELECT run, {KPI_SQL} FROM samples GROUP BY run)
-SELECT 'last' AS run, n, rc_accuracy, rc_accuracy_clear FROM r WHERE run = (SELECT max(run) FROM r)
-UNION ALL SELECT 'first', n, rc_accuracy, rc_accuracy_clear FROM r WHERE run = (SELECT min(run) FROM r)""")
+SELECT run, n, rc_accuracy, rc_accuracy_clear FROM r""")
 def report_files(spark: SparkSession, sf: str) -> DataFrame:
     """SC10, SI4: report files per run folder, read back with the run from the path."""
     root = fresh_path(spark, "reports")
     report = kpi.kpi_report(samples(spark, sf), LABELS, UNSURE, ("run",))
-    ends = report.agg(F.min("run").alias("first"), F.max("run").alias("last")).first()
-    for name in ("first", "last"):
-        W.write_jsonl(report.where(F.col("run") == ends[name]), f"{root}/{name}/report.json")
+    W.write_reports(report, root)
     return round6(R.read_reports(spark, root).select("run", "n", "rc_accuracy", "rc_accuracy_clear"))
 
 

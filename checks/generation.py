@@ -213,13 +213,12 @@ def runbook_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN '{LABELS[0]}' ELSE '{ABSTAIN}' END AS label, TRUE AS parsed,
   CASE WHEN doc_id % 2 = 0 THEN 0.64::DOUBLE END AS confidence, CASE WHEN doc_id % 2 = 0 THEN 'It is in airplane mode' ELSE '' END AS evidence
-FROM documents WHERE NOT (contains(lower(text), 'abroad') OR contains(lower(text), 'borrowed'))""")
+FROM documents""")
 def classified_tickets(spark: SparkSession, sf: str) -> DataFrame:
     """GE11: tickets answered by rule; whole documents with a cue sentence in front or without."""
     text = F.col("text")
     cue = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("It is in airplane mode. "), text)).otherwise(text)
     docs = table(spark, sf, "documents", "doc_id", "text")
-    docs = docs.where(~(F.lower("text").contains("abroad") | F.lower("text").contains("borrowed")))
     tickets = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), cue.alias("complaint"))
     made = G.classify_tickets(tickets, KIT)
     judged = judge_answers(made.select("id", "complaint", "answer"), BOOK)

@@ -227,8 +227,6 @@ def split_disjoint(spark: SparkSession, sf: str) -> DataFrame:
 WITH mix AS (SELECT source, count(*) AS n, sum(count(*)) OVER () AS total FROM documents GROUP BY source)
 SELECT source, greatest(1, round_even(n * (50::DOUBLE / total), 0)::BIGINT) AS size FROM mix""")
 def mix_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """WI4: group sizes scaled to a limit."""
-    counts = {r["source"]: r["n"] for r in validate.distribution(
-        table(spark, sf, "documents"), "source").limit(10_000).collect()}
-    sizes = split.scaled_mix(counts, 50)
-    return spark.createDataFrame(list(sizes.items()), "source STRING, size BIGINT")
+    """WI4: sizes of all groups scaled to a limit."""
+    counts = validate.distribution(table(spark, sf, "documents"), "source")
+    return split.scaled_sizes(counts, 50).select("source", "size")

@@ -114,15 +114,16 @@ h AS (SELECT t.conv_id AS id, t.turn, t.text, least(5::DOUBLE, greatest(1::DOUBL
    1 + len({WS.format("t.text")}) / 20::DOUBLE + 0.5::DOUBLE * ({" + ".join(f"contains(lower(t.text), '{m}')::INT" for m in ("la", "the", "eau", "un"))}))) AS score
   FROM conversations t WHERE role = 'assistant'),
 v AS (SELECT a.id, 'm' || (a.id % 3) AS mode, CASE WHEN abs(a.score - b.score) < 1e-9 THEN 'tie' WHEN a.score > b.score THEN 'A' ELSE 'B' END AS verdict
-  FROM h a JOIN h b ON a.id = b.id AND a.turn = 1 AND b.turn = 3)
+  FROM h a JOIN h b ON a.id = b.id AND b.turn = a.turn + 2)
 """
 MARKS = ("la", "the", "eau", "un")
 
 
-def _run(spark: SparkSession, sf: str, turn: int) -> DataFrame:
-    rows = table(spark, sf, "conversations").where((F.col("role") == "assistant") & (F.col("turn") == turn))
+def _run(spark: SparkSession, sf: str, shift: int) -> DataFrame:
+    """All assistant turns as answers of one run; the case is the conversation and a turn number."""
+    rows = table(spark, sf, "conversations").where("role = 'assistant'")
     return rows.select(
-        F.col("conv_id").alias("id"), F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("mode"),
+        F.concat_ws("-", "conv_id", F.col("turn") - shift).alias("id"), F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("mode"),
         F.lit("").alias("prompt"), F.col("text").alias("answer"))
 
 
@@ -131,8 +132,8 @@ WITH {HEAD} SELECT coalesce(mode, 'overall') AS slice, round_even(avg((verdict =
   round_even(avg((verdict = 'tie')::INT::DOUBLE) * 100, 1) AS tie_pct, round_even(avg((verdict = 'B')::INT::DOUBLE) * 100, 1) AS b_win_pct,
   count(*) AS n FROM v GROUP BY ROLLUP (mode)""")
 def head_to_head(spark: SparkSession, sf: str) -> DataFrame:
-    """JO2, TX21, AG12, SI6: two runs compared case by case by the offline judge."""
-    pairs = rubric.head_to_head(_run(spark, sf, 1), _run(spark, sf, 3))
+    """JO2, TX21, AG12, SI6: every assistant turn against the next one, by the offline judge."""
+    pairs = rubric.head_to_head(_run(spark, sf, 0), _run(spark, sf, 2))
     a = rubric.heuristic_score(F.col("answer_a"), MARKS)
     b = rubric.heuristic_score(F.col("answer_b"), MARKS)
     judged = pairs.withColumns({"a": a, "b": b}).select(

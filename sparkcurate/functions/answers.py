@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkcurate.functions.numbers import clamp
-from sparkcurate.functions.text import let, strip
+from sparkcurate.functions.text import is_blank, let, strip
 
 #: JSON the way a strict decoder reads it.
 STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
@@ -35,10 +35,26 @@ def loose_json(text: Column) -> Column:
     return F.from_json(json_start(text), LOOSE, STRICT)
 
 
+def one_value(text: Column) -> Column:
+    """``ARRAY`` of the one JSON value a text consists of (objects as JSON text); NULL for any other text.
+
+    The text is parsed as the first of two array elements; the second is a digest of the text, so that
+    commas, brackets or further values in the text cannot pass for the end of the array.
+    """
+    mark = F.md5(text)
+    found = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "array<string>", STRICT)
+    return F.when((F.size(found) == 2) & (F.get(found, 1) == mark) & ~is_blank(text), F.slice(found, 1, 1))
+
+
+def one_object(text: Column) -> Column:
+    """The JSON text of the one object a text consists of; NULL for any other text."""
+    value = F.get(one_value(text), 0)
+    return F.when(F.startswith(strip(text), F.lit("{")) & F.startswith(value, F.lit("{")), value)
+
+
 def whole_json(text: Column) -> Column:
     """Like :func:`loose_json` for a text that must be one JSON object and nothing else."""
-    wrapped = F.concat(F.lit('{"w":'), text, F.lit("}"))
-    return F.from_json(wrapped, "w map<string,string>", STRICT)["w"]
+    return F.from_json(one_object(text), LOOSE, STRICT)
 
 
 def to_number(value: Column) -> Column:

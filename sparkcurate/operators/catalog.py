@@ -106,7 +106,7 @@ def catalog_line(groups: DataFrame) -> DataFrame:
     stock = F.when(F.col("available"), "còn hàng").otherwise("hết/không rõ")
     warranty = F.coalesce(F.col("warranty_months").cast("string"), F.lit("—"))
     line = F.concat(
-        F.lit("- "), F.col("series"), F.lit(" "), F.col("storage_gb").cast("string"),
+        F.lit("- "), F.col("series"), F.lit(" "), F.coalesce(F.col("storage_gb").cast("string"), F.lit("None")),
         F.lit("GB — "), F.col("price_label"), F.lit(" — "), specs, F.lit(" — màu: "), colours,
         F.lit(" — "), stock, F.lit(" (BH "), warranty, F.lit(" tháng)"),
     )

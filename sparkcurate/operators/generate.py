@@ -185,8 +185,8 @@ def with_package(cases: DataFrame, kit: CaseKit) -> DataFrame:
         note = kit.text(F.concat_ws("\x1f", label, sub), notes)
         ladder = F.transform(ladder, lambda s: F.when(
             (s["if_fails"] == "a specialist takes over") & note.isNotNull(),
-            s.withField("action", F.concat(F.upper(F.substring(note, 1, 1)), F.substring(
-                note, 2, 1_000_000)))).otherwise(s))
+            s.withField("action", F.concat(F.upper(F.substring(note, 1, 1)), F.substr(
+                note, F.lit(2))))).otherwise(s))
     package = F.struct(
         F.struct(
             label.alias("leading_root_cause"), F.col("confidence").alias("confidence"),
@@ -408,7 +408,7 @@ PARAPHRASES = ("{q}", "Can you tell me: {ql}", "For our runbook, {ql}", "Quick q
 def knowledge_pairs(facts: DataFrame, templates: Sequence[str] = PARAPHRASES) -> DataFrame:
     """(question, answer) facts times paraphrases; the templates are a literal, so no join."""
     q = F.col("question")
-    lower = F.concat(F.lower(F.substring(q, 1, 1)), F.substring(q, 2, 1_000_000))
+    lower = F.concat(F.lower(F.substring(q, 1, 1)), F.substr(q, F.lit(2)))
 
     def fill(template: Column) -> Column:
         return F.replace(F.replace(template, F.lit("{ql}"), lower), F.lit("{q}"), q)

@@ -109,6 +109,15 @@ def split_overlap(split: DataFrame, id_col: str) -> DataFrame:
     )
 
 
+def scaled_sizes(counts: DataFrame, limit: int | None, size: str = "n", name: str = "size") -> DataFrame:
+    """As :func:`scaled_mix` for a table of group sizes of any length: one total, then a projection."""
+    if limit is None:
+        return counts.withColumn(name, F.col(size))
+    total = counts.agg(F.sum(size)).first()[0] or 1
+    scaled = F.bround(F.col(size) * F.lit(limit / total)).cast("long")
+    return counts.withColumn(name, F.greatest(F.lit(1).cast("long"), scaled))
+
+
 def scaled_mix(mix: Mapping[str, int], limit: int | None) -> dict[str, int]:
     """Group sizes scaled to about ``limit`` rows in total, at least one each."""
     if limit is None:

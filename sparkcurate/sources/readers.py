@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcurate import schemas as S
-from sparkcurate.functions.answers import STRICT
+from sparkcurate.functions.answers import STRICT, one_object, one_value
 from sparkcurate.functions.chat import joined
 from sparkcurate.functions.text import is_blank, strip
 from sparkcurate.operators.validate import check_records, keep_audited, validation_stats
@@ -50,8 +50,7 @@ def decode(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
     A line is decoded if it is one JSON object and nothing else. A wrong type in one field only
     blanks that field.
     """
-    wrapped = F.concat(F.lit('{"w":'), F.col(value), F.lit("}"))
-    whole = F.from_json(wrapped, "w MAP<STRING, STRING>", STRICT)["w"].isNotNull()
+    whole = one_object(F.col(value)).isNotNull()
     return lines.withColumns({
         "row": F.from_json(F.col(value), schema, STRICT), "decoded": whole,
     })
@@ -111,7 +110,8 @@ SAMPLE_TEXTS = ("mode", "prompt", "answer", "reference")
 
 
 def read_answer_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Per-sample CSV by id: rows without an id go, the last of several equal ids stays.
+    """Per-sample CSV by id: rows without an id go, the last of several equal ids stays:
+    by ``seq`` if the file has that column, else by place.
 
     All four text columns must be there; absent ones would make every comparison a tie.
     """
@@ -120,6 +120,8 @@ def read_answer_csv(spark: SparkSession, path: str) -> DataFrame:
     if missing:
         raise ValueError(f"columns missing in {path}: {missing}")
     at = F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"))
+    if "seq" in raw.columns:  # written in parallel: the number says which row is later
+        at = F.col("seq").cast("long")
     texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in SAMPLE_TEXTS]
     rows = raw.select("id", *texts, at.alias("at")).where(F.coalesce("id", F.lit("")) != "")
     latest = rows.groupBy("id").agg(F.max_by(F.struct(*SAMPLE_TEXTS), "at").alias("r"))
@@ -133,9 +135,20 @@ def read_fact_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, root: str, schema: str = S.KPI_REPORT) -> DataFrame:
-    """``<root>/<run>/report.json`` files, run from the folder name; unreadable ones are skipped."""
-    raw = spark.read.schema(f"{schema}, _bad STRING").option("multiLine", True).option(
-        "columnNameOfCorruptRecord", "_bad").json(f"{root.rstrip('/')}/*/report.json")
+    """``<root>/<run>/report.json`` files, run from the folder name; unreadable ones are skipped.
+
+    Folders ``run=<run>``, as one partitioned write leaves them, are read too if there is any.
+    """
+    top, lines = root.rstrip("/"), spark.read.schema(f"{schema}, _bad STRING").option(
+        "columnNameOfCorruptRecord", "_bad")
+    try:
+        parts = lines.json(f"{top}/run=*")
+        name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"/run=([^/]*)/[^/]+$", 1))
+        return parts.select(name.alias("run"), "*").where(F.col("_bad").isNull()).drop("_bad")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    raw = lines.option("multiLine", True).json(f"{top}/*/report.json")
     run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/report\.json(?:/[^/]+)?$", 1)
     return raw.select(run.alias("run"), "*").where(F.col("_bad").isNull()).drop("_bad")
 
@@ -175,10 +188,10 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
 def line_text(value: Column) -> Column:
     """The text of a mixed line: ``text``, joined ``messages``, ``reference``, a JSON string, or the
     line itself when it is no JSON."""
-    wrapped = F.concat(F.lit('{"w":'), value, F.lit("}"))
-    plain = F.from_json(wrapped, "w STRING", STRICT)["w"]
-    shape = f"w STRUCT<text: STRING, messages: {S.MESSAGES}, reference: STRING>"
-    parsed = F.from_json(wrapped, shape, STRICT)["w"]
+    alone = one_value(value)
+    plain = F.get(alone, 0)
+    shape = f"text STRING, messages {S.MESSAGES}, reference STRING"
+    parsed = F.from_json(one_object(value), shape, STRICT)
     is_object = F.startswith(strip(value), F.lit("{"))
     is_string = F.startswith(strip(value), F.lit('"'))
     from_object = F.coalesce(
@@ -186,7 +199,7 @@ def line_text(value: Column) -> Column:
         F.nullif(parsed["reference"], F.lit("")), F.lit(""))
     other = F.lit("")  # other JSON values carry no text
     return (
-        F.when(plain.isNull() & (strip(value) != "null"), strip(value))
+        F.when(alone.isNull(), strip(value))
         .when(is_object, from_object).when(is_string, plain).otherwise(other)
     )
 

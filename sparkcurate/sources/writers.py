@@ -80,6 +80,11 @@ def report_payload(report: DataFrame, slices: DataFrame, confusion: DataFrame) -
     return report.join(per_slice, "run").join(nested, "run")
 
 
+def write_reports(report: DataFrame, root: str) -> None:
+    """Report rows of any number of runs in one write: a folder ``run=<run>`` per run under ``root``."""
+    report.write.partitionBy("run").json(root)
+
+
 def append_runs(row: DataFrame, path: str) -> None:
     """Append run metadata (config, commit, data version, seed, metrics) to a runs table."""
     row.write.mode("append").parquet(path)
