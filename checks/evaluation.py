@@ -136,7 +136,7 @@ def first_mistakes(spark: SparkSession, sf: str) -> DataFrame:
     from checks.base import table
 
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return kpi.first_mistakes(samples(spark, sf).join(docs, "id"), "text")
+    return kpi.first_mistakes(samples(spark, sf), "text", texts=docs)
 
 
 @query(f"""
@@ -145,7 +145,4 @@ SELECT run, count(*) AS n, {ACCURACY.replace("correct", "gold_rc = pred_rc")} AS
 FROM samples GROUP BY run""")
 def label_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """AG23: plain accuracy of predictions."""
-    rows = samples(spark, sf)
-    return rows.groupBy("run").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg((F.col("pred_rc") == F.col("gold_rc")).cast("double")), 6).alias("accuracy"))
+    return round6(kpi.label_accuracy(samples(spark, sf), ("run",)))

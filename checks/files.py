@@ -183,7 +183,10 @@ SELECT CASE g WHEN 'complaint_resolution' THEN 'sft-cr' WHEN 'knowledge' THEN 's
 def chat_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """GE5-GE7, SO1, WI4: the full mixture, as many records as there are documents."""
     facts = G.runbook_facts(runbooks(spark, sf)).join(
-        runbooks(spark, sf).select("label", "i"), "label").where("fact = 'time'")
+        runbooks(spark, sf).select("label", "i"), "label")
+    # Five kinds of facts each: one integer order over all of them.
+    kinds = F.array(*[F.lit(k) for k in ("time", "owner", "severity", "runbook", "reverse")])
+    facts = facts.withColumn("i", F.col("i") * 5 + F.array_position(kinds, F.col("fact")))
     numbered = order.number_rows(facts.select("question", "answer", "i"), "i", "no")
     facts = numbered.withColumn("pos", F.col("no") - 1)
     n = table(spark, sf, "documents").count()

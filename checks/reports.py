@@ -309,3 +309,16 @@ def mock_answers(spark: SparkSession, sf: str) -> DataFrame:
     built = pairs.select("id", "answer")
     out = replay(cases, built)
     return out.select("id.conv_id", "id.turn", F.length("answer").alias("n"))
+
+
+@query("""
+SELECT g, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95
+FROM (SELECT CASE WHEN user_id % 4 <> 0 THEN event_type END AS g, value FROM events) GROUP BY g""")
+def latency_null_group(spark: SparkSession, sf: str) -> DataFrame:
+    """AG13: percentiles of a group column with nulls; they are a group of their own."""
+    from sparkcurate.operators import order
+
+    rows = table(spark, sf, "events").select(
+        F.when(F.col("user_id") % 4 != 0, F.col("event_type")).alias("g"), "value")
+    found = order.exact_percentiles(rows, "value", (0.5, 0.95), ("g",))
+    return found.select("g", "n", F.round("p0", 6).alias("p50"), F.round("p1", 6).alias("p95"))

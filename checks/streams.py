@@ -18,17 +18,17 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query("""
 WITH w AS (SELECT event_type AS key, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n,
-  quantile_cont(round(value / 0.001::DOUBLE) * 0.001::DOUBLE, 0.5) AS p50, quantile_cont(round(value / 0.001::DOUBLE) * 0.001::DOUBLE, 0.95) AS p95, avg(round(value / 0.001::DOUBLE) * 0.001::DOUBLE) AS mean
+  quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, avg(value) AS mean
   FROM events GROUP BY ALL)
 SELECT key, strftime(start, '%Y-%m-%d') AS day, n, round(p50, 4) AS p50, round(p95, 4) AS p95, round(mean * n, 2) AS total
 FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_latency_windows(spark: SparkSession, sf: str) -> DataFrame:
     """ST2: percentiles per day and key; only closed windows come out."""
-    windows = jobs.latency_windows(_stream(spark, sf, "events"), "ts", "event_type", "value")
+    windows = jobs.latency_counts(_stream(spark, sf, "events"), "ts", "event_type", "value")
     path = fresh_path(spark, "windows")
     run = jobs.to_table(windows, path, fresh_path(spark, "windows-state"))
     run.awaitTermination()
-    out = spark.read.schema(windows.schema).parquet(path)
+    out = jobs.latency_windows(spark.read.schema(windows.schema).parquet(path))
     return out.select("key", F.date_format("start", "yyyy-MM-dd").alias("day"), "n",
                       F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"),
                       F.round(F.col("mean") * F.col("n"), 2).alias("total"))
@@ -55,7 +55,7 @@ def stream_gate(spark: SparkSession, sf: str) -> DataFrame:
 def stream_first_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     """ST3: replays of an id within the delay are dropped."""
     stream = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    first = jobs.first_arrivals(stream, ("user_id", "event_type"), "ts", "3650 days")
+    first = jobs.first_arrivals(stream, ("user_id", "event_type"), "ts", "1 day")
     path = fresh_path(spark, "arrivals")
     jobs.to_table(first.select("user_id", "event_type"), path, fresh_path(spark, "arrivals-state")).awaitTermination()
     out = spark.read.schema("user_id LONG, event_type STRING").parquet(path)

@@ -152,9 +152,15 @@ def leaderboard(reports: DataFrame) -> DataFrame:
     return reports.withColumn("rank", F.row_number().over(order))
 
 
-def first_mistakes(samples: DataFrame, text: str, order: str = "id", k: int = 8) -> DataFrame:
-    """The first k wrong predictions in a stated order, with a 120-character excerpt."""
+def first_mistakes(samples: DataFrame, text: str, order: str = "id", k: int = 8,
+                   texts: DataFrame | None = None) -> DataFrame:
+    """The first k wrong predictions in a stated order, with a 120-character excerpt.
+
+    ``texts`` (``order`` and ``text``) are joined after the k rows are chosen, so no other text moves.
+    """
     top = samples.where(~F.col("correct")).orderBy(order).limit(k)
+    if texts is not None:  # k rows
+        top = texts.join(F.broadcast(top), order)
     position = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order))
     return top.select(
         position.alias("pos"), order, F.col("gold_rc"), F.col("pred_rc"),
@@ -177,9 +183,9 @@ def previous_delta(scores: DataFrame, run: str, mode: str, score: str, current:
     )
 
 
-def label_accuracy(predictions: DataFrame) -> DataFrame:
+def label_accuracy(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of rows whose prediction equals the gold label."""
-    return predictions.agg(
+    return predictions.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), rate(F.col("pred_rc") == F.col("gold_rc")).alias("accuracy")
     )
 

@@ -14,6 +14,15 @@ from sparkcurate.session import small_side
 BUCKET_DIGITS = 3
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys where NULL equals NULL, as in a grouping; keys once, from the left."""
+    renamed = right.select(*[F.col(c).alias(f"_same_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for key in keys:
+        same = same & left[key].eqNullSafe(renamed[f"_same_{key}"])
+    return left.join(renamed, same).drop(*[f"_same_{key}" for key in keys])
+
+
 def smallest_key_cut(keys: DataFrame, quotas: DataFrame) -> DataFrame:
     """Per stratum, the key of the last row among its ``take`` smallest.
 
@@ -65,8 +74,7 @@ def number_rows(df: DataFrame, order: str, name: str, chunk: int = 1_000_000,
     )
     inside = Window.partitionBy(*by, "_range").orderBy(order)
     return (
-        ranged.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*by, "_range"])
+        join_same(ranged.withColumn("_rn", F.row_number().over(inside)), offsets, [*by, "_range"])
         .withColumn(name, F.col("_offset") + F.col("_rn"))
         .drop("_range", "_rn", "_offset")
     )
@@ -93,8 +101,8 @@ def running_total(df: DataFrame, by: Sequence[str], order: str, amount: Column,
         Window.unboundedPreceding, -1
     )
     return (
-        ranged.withColumn("_before", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-        .join(offsets, [*by, "_range"])
+        join_same(ranged.withColumn("_before", F.coalesce(F.sum("_amount").over(inside), F.lit(0))),
+                  offsets, [*by, "_range"])
         .withColumn(name, F.col("_offset") + F.col("_before"))
         .drop("_range", "_amount", "_before", "_offset")
     )
@@ -121,7 +129,7 @@ def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float],
     for i in range(len(spots)):
         place = place + (F.col("v") > F.get("edges", F.lit(i))).cast("int")
     if by:
-        placed = rows.join(small_side(edges), group)
+        placed = join_same(rows, small_side(edges), group)
     else:  # a single row: constants instead of a join
         found = edges.first() or {"n": 0, "mean": None, "edges": [None]}
         placed = rows.withColumns({
@@ -142,7 +150,7 @@ def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float],
         wanted = wanted | ((low <= last) & (high >= first))
     needed = slots.where(wanted).select(*group, "slot", "start")
     values = (
-        placed.join(small_side(needed), [*group, "slot"])
+        join_same(placed, small_side(needed), [*group, "slot"])
         .groupBy(*group, "slot", "start", "n", "mean", "v").agg(F.count(F.lit(1)).alias("m"))
     )
     inside = Window.partitionBy(*group, "slot").orderBy("v").rowsBetween(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sparkcurate.operators.order import join_same
 from sparkcurate.operators.rules import RuleBook, judge_answers
 
 
@@ -42,25 +43,38 @@ def split_stream(rows: DataFrame, route: Callable[[DataFrame, int], None],
     )
 
 
-def latency_windows(stream: DataFrame, ts: str, key: str, value: str, window: str = "1 day",
-                    delay: str = "1 hour", step: float = 0.001) -> DataFrame:
-    """n, p50, p95 and mean per tumbling window and key; rows later than ``delay`` are dropped.
+def latency_counts(stream: DataFrame, ts: str, key: str, value: str, window: str = "1 day",
+                   delay: str = "1 hour") -> DataFrame:
+    """How often each value occurs per tumbling window and key; rows later than ``delay`` are dropped.
 
-    Values are counted on a grid of ``step`` (log lines carry three decimals anyway), which bounds
-    the state of a group by the value range over ``step`` and not by its number of rows.
+    The state is one small row per distinct value, spread over all tasks, and goes when its window closes.
     """
-    gridded = F.round(F.col(value) / F.lit(step)) * F.lit(step)
     rows = stream.select(F.col(ts).cast("timestamp").alias("ts"), F.col(key).alias("key"),
-                         gridded.alias("v"))
+                         F.col(value).cast("double").alias("v"))
     return (
-        rows.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "key")
-        .agg(F.count("v").alias("n"), F.percentile("v", F.lit(0.5)).alias("p50"),
-             F.percentile("v", F.lit(0.95)).alias("p95"), F.avg("v").alias("mean"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "key", "n", "p50",
-                "p95", "mean")
+        rows.where("v IS NOT NULL").withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "key", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "key", "v", "n")
     )
 
 
+def latency_windows(counts: DataFrame, fractions: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """n, mean and exact percentiles ``p50, p95, ...`` per window and key from the stored counts."""
+    group = ["start", "end", "key"]
+    upto = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = counts.groupBy(*group).agg(
+        F.sum("n").alias("total"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    ranked = join_same(counts.withColumn("last", F.sum("n").over(upto) - 1), totals, group)
+    first, out = F.col("last") - F.col("n") + 1, []
+    for f in fractions:
+        rank = F.lit(float(f)) * (F.col("total") - 1)
+        low, high = F.floor(rank), F.ceil(rank)
+        at_low = F.max(F.when((first <= low) & (low <= F.col("last")), F.col("v")))
+        at_high = F.max(F.when((first <= high) & (high <= F.col("last")), F.col("v")))
+        out.append((at_low + (at_high - at_low) * F.max(rank - low)).alias(f"p{round(100 * f)}"))
+    return ranked.groupBy(*group).agg(F.max("total").alias("n"), F.max("mean").alias("mean"), *out)
+
+
 def first_arrivals(stream: DataFrame, ids: Sequence[str], ts: str, delay: str) -> DataFrame:
     """Drop replays of an id within the delay. The first arrival stays, while the batch reader of
     answer files keeps the last one."""

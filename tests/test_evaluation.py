@@ -349,3 +349,26 @@ def test_lookups(spark):
     matrix = spark.createDataFrame([("EU", "car", ["a", "b"])], "region STRING, vehicle STRING, plans ARRAY<STRING>")
     asked = spark.createDataFrame([("EU", "car", "a"), ("EU", "car", "z")], "region STRING, vehicle STRING, plan STRING")
     assert {r.plan: r.eligible for r in lookup.eligibility(asked, matrix).collect()} == {"a": True, "z": False}
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(i, (None, "a", "b")[i % 3], float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "i long, g string, v double")
+    found = {r.g: (r.n, r.p0) for r in order.exact_percentiles(df, "v", (0.5,), ("g",)).collect()}
+    assert found == {None: (10, 13.5), "a": (10, 14.5), "b": (10, 15.5)}
+    numbers = order.number_rows(df, "i", "no", 7, ("g",)).collect()
+    assert sorted(r.no for r in numbers if r.g is None) == list(range(1, 11))
+    before = order.running_total(df, ("g",), "i", df["v"], "t", 7).collect()
+    assert max(r.t for r in before if r.g is None) == sum(range(0, 27, 3))
+
+
+def test_json_lines_hold_one_object(one):
+    from sparkcurate.functions import answers
+
+    good = ['{"a": 1}', ' {"a": {"b": [1, 2]}} ', '{"a": "}, \\"x\\": {"}']
+    bad = ['{"id":"1"}, "x": {"b":2}', '{"id":"5"},"y":1', '{"a":1}{"b":2}', '{"a":1}],[{"b":2}', '[{"a":1}]', '"a"', "",
+           '{"a":1', "null", None]
+    from pyspark.sql import functions as F
+    for text in good + bad:
+        row = one(x=answers.whole_json(F.lit(text).cast("string")))
+        assert (row.x is not None) == (text in good), text

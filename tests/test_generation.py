@@ -153,8 +153,8 @@ def test_latency_stream(spark, tmp_path):
              for d in (1, 2, 3) for i, t in enumerate(("0.100", "0.200", "0.300", "0.400"))]
     (tmp_path / "log" / "a.tsv").write_text("\n".join(lines) + "\n")
     stream = read_latency_log(spark, str(tmp_path / "log"), stream=True)
-    windows = jobs.latency_windows(stream, "ts", "adapter", "ttft")
+    windows = jobs.latency_counts(stream, "ts", "adapter", "ttft")
     out = fresh_path(spark, "lat")
     jobs.to_table(windows, out, fresh_path(spark, "lat-state")).awaitTermination()
-    rows = spark.read.parquet(out).orderBy("start").collect()
+    rows = jobs.latency_windows(spark.read.parquet(out)).orderBy("start").collect()
     assert [(r.start.day, r.n, round(r.p50, 4)) for r in rows] == [(1, 4, 0.25), (2, 4, 0.25)]
