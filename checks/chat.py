@@ -167,14 +167,14 @@ def record_system(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, md5('<|im_start|>user' || chr(10) || substring(text, 1, 30) || '<|im_end|>' || chr(10)
+SELECT doc_id, md5('<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10)
   || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || 'read' || chr(10) || lang || chr(10)
   || '</think>' || chr(10) || text || '<|im_end|>' || chr(10)) AS text FROM documents""")
 def reasoning_rows(spark: SparkSession, sf: str) -> DataFrame:
     """PR2, PR3: reasoning records as chats, audit notes left out."""
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.lit("reasoning").alias("data_type"),
-        F.lit(None).cast(C.MESSAGES).alias("messages"), F.substring("text", 1, 30).alias("situation"),
+        F.lit(None).cast(C.MESSAGES).alias("messages"), F.col("text").alias("situation"),
         F.array(F.lit("read"), F.col("lang")).alias("reasoning"), F.col("text").alias("response"),
         F.lit("audit only").alias("why"))
     rows = turns.training_rows(docs, thinking=True)
@@ -183,7 +183,7 @@ def reasoning_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT u.conv_id || '-' || u.turn AS id, 'user' AS prompt_role, a.text || chr(10) || 'Done.' AS chosen,
-       substring(u.text, 1, 20) AS rejected
+       reverse(u.text) AS rejected
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'""")
 def preference_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +193,7 @@ def preference_texts(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.array(C.message("user", F.col("prompt"))).alias("prompt"),
         F.array(C.message("assistant", F.col("answer")), C.message("assistant", F.lit("Done."))).alias("chosen"),
-        F.array(C.message("assistant", F.substring("prompt", 1, 20))).alias("rejected"))
+        F.array(C.message("assistant", F.reverse("prompt"))).alias("rejected"))
     out = preference_examples(rows)
     return out.select("id", F.get("prompt", F.lit(0))["role"].alias("prompt_role"), "chosen", "rejected")
 

@@ -134,7 +134,7 @@ def preference_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH p AS (SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS chosen FROM conversations u
   JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')
-SELECT conv_id, turn, chosen, CASE (conv_id + turn) % 3 WHEN 0 THEN reverse(chosen) WHEN 1 THEN substring(chosen, 1, 10)
+SELECT conv_id, turn, chosen, CASE (conv_id + turn) % 3 WHEN 0 THEN reverse(chosen) WHEN 1 THEN chosen || ' ' || prompt
   ELSE prompt END AS rejected FROM p""")
 def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """GE9, PR8: pairs from neighbouring turns, one corruption per row."""
@@ -142,7 +142,7 @@ def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
     pairs = turns.next_turns(table(spark, sf, "conversations"), "conv_id")
     kind = (F.col("conv_id") + F.col("turn")) % 3
-    rejected = (F.when(kind == 0, F.reverse("answer")).when(kind == 1, F.substring("answer", 1, 10))
+    rejected = (F.when(kind == 0, F.reverse("answer")).when(kind == 1, F.concat_ws(" ", "answer", "prompt"))
                 .otherwise(F.col("prompt")))
     return pairs.select("conv_id", "turn", F.col("answer").alias("chosen"), rejected.alias("rejected"))
 

@@ -17,7 +17,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     i, text = F.col("doc_id"), F.col("text")
     kind = F.when(i % 37 == 0, "essay").when(i % 3 == 0, "sft").when(i % 3 == 1, "reasoning").otherwise(
         "preference")
-    head = F.substring("text", 1, 40)
+    head = F.col("text")
     user = C.message(F.when(i % 41 == 0, "robot").otherwise("user"), head)
     answer = C.message("assistant", F.when(i % 43 == 0, F.lit(" \n\t")).otherwise(text))
     chat = F.when(i % 19 == 0, F.array(user)).when(i % 23 == 0, F.array(answer)).otherwise(
@@ -39,7 +39,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CHECKED = """
-k AS (SELECT doc_id AS i, lang, trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank, trim(substring(text, 1, 40), ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank_head,
+k AS (SELECT doc_id AS i, lang, trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank, trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank_head,
         CASE WHEN doc_id % 37 = 0 THEN 'essay' WHEN doc_id % 3 = 0 THEN 'sft'
              WHEN doc_id % 3 = 1 THEN 'reasoning' ELSE 'preference' END AS data_type FROM documents),
 e AS (SELECT *, [

@@ -41,12 +41,14 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(n).alias("tier"), F.lit("restart").alias("action"), F.lit("it works").alias("verify"),
             F.lit("next").alias("if_fails")) for n in numbers])
 
+    # The quoted evidence is the last line of the text.
+    quote = F.element_at(F.split("text", "\n"), -1)
     package = F.struct(
         F.struct(
             label.alias("leading_root_cause"),
             F.when(i % 13 != 0, (i % 100) / 100.0).alias("confidence"),
-            F.when(i % 3 == 0, F.array(F.substring("text", 1, 60), F.lit("entirely invented claim of nothing")))
-            .when(i % 3 == 1, F.array(F.substring("text", 1, 60))).otherwise(X.strings(()))
+            F.when(i % 3 == 0, F.array(quote, F.lit("entirely invented claim of nothing")))
+            .when(i % 3 == 1, F.array(quote)).otherwise(X.strings(()))
             .alias("evidence_in_ticket"),
             F.when(i % 10 == 0, "sub1").when(i % 10 == 1, "nope").alias("sub_cause"),
         ).alias("diagnosis"),
@@ -79,7 +81,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FACTS = f"""
-n AS (SELECT doc_id AS i, lang, source, {NORM} AS norm, {NORM.replace("text", "substring(text, 1, 60)")} AS enorm,
+n AS (SELECT doc_id AS i, lang, source, {NORM} AS norm, {NORM.replace("text", "string_split(text, chr(10))[-1]")} AS enorm,
         (['ALPHA', 'BETA', 'GAMMA', 'UNDECIDED', 'OMEGA'])[doc_id % 5 + 1] AS label,
         (['ALPHA', 'BETA', 'GAMMA', 'UNDECIDED'])[doc_id % 4 + 1] AS gold_rc,
         CASE WHEN doc_id % 13 <> 0 THEN (doc_id % 100) / 100::DOUBLE END AS conf,

@@ -105,16 +105,16 @@ def pattern_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH d AS (SELECT doc_id, {tokens_sql(NORM)} AS t FROM documents),
-e AS (SELECT doc_id, {tokens_sql(NORM.replace("text", "substring(text, 1, 80)"))} AS own,
+e AS (SELECT doc_id, {tokens_sql(NORM.replace("text", "string_split(text, chr(10))[-1]"))} AS own,
              doc_id - 1 AS other FROM documents)
 SELECT e.doc_id, {grounded_sql("e.own", "d.t")} AS in_own,
        {grounded_sql("e.own", "o.t")} AS in_previous
 FROM e JOIN d USING (doc_id) LEFT JOIN d o ON o.doc_id = e.other""")
 def grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """TX9: whether a document's head is grounded in itself and in its predecessor."""
+    """TX9: whether a document's last line is grounded in itself and in its predecessor."""
     docs = table(spark, sf, "documents", "doc_id", "text")
     ticket = docs.select("doc_id", X.content_tokens(F.col("text")).alias("t"))
-    heads = docs.select("doc_id", X.content_tokens(F.substring("text", 1, 80)).alias("own"))
+    heads = docs.select("doc_id", X.content_tokens(F.element_at(F.split("text", "\n"), -1)).alias("own"))
     previous = ticket.select((F.col("doc_id") + 1).alias("doc_id"), F.col("t").alias("p"))
     joined = heads.join(ticket, "doc_id").join(previous, "doc_id", "left")
     return joined.select(
