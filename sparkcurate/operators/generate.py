@@ -8,6 +8,7 @@ first n accepted ones of each group by number.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -35,6 +36,12 @@ STEP = "struct<action:string,addresses:string,expected_time:string,verify:string
 DIFFERENTIAL = "array<struct<rc:string,likelihood:string,why:string>>"
 
 
+def filled(template: str, values: Mapping[str, Column]) -> Column:
+    """A template's ``{name}`` slots filled with columns; the text around them is constant."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(values[p], F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
 @dataclass(frozen=True)
 class CaseKit:
     """Domain texts of the generator."""
@@ -57,6 +64,11 @@ class CaseKit:
     off_catalogue: Sequence[str]
     route: str
     system_prompt: str
+    traces: Mapping[str, str]  # style -> template of the reasoning
+    documents: Mapping[str, str]  # artifact -> template
+    faults: Mapping[str, Mapping[str, object]]  # fault -> what it changes, see ``rejected_side``
+    no_evidence: str = "none"
+    credit_note: str = ""
     version: str = "v1"
     escalate_notes: Mapping[str, Mapping[str, str]] = field(default_factory=dict)
 
@@ -153,22 +165,15 @@ def think_text(kit: CaseKit, df: DataFrame) -> Column:
     other = kit.text(label, {k: v[0] for k, v in kit.alternative.items()})
     why = kit.text(label, {k: v[1] for k, v in kit.alternative.items()})
     line, unseen = kit.text(label, kit.one_line), kit.text(label, kit.unseen)
-    close = F.format_string(
-        "The ticket does not show %s, so confidence stays near %.2f and a person should check it. "
-        "The customer gets the quickest checks first.", unseen, F.col("confidence"))
-    clean = F.format_string(
-        "Cues: %s. %s This points to %s. %s was considered, but %s. %s",
-        cues, line, label, other, why, close)
-    corrected = F.format_string(
-        "At first sight this looks like %s. Read again, the cues are: %s. %s Because %s, the "
-        "leading hypothesis becomes %s. %s", other, cues, line, why, label, close)
-    chained = F.format_string(
-        "A likely chain: %s. Cues: %s. %s This points to %s. %s",
-        kit.text(label, kit.chain), cues, line, label, close)
-    return (
-        F.when(F.col("style") == "selfcorrect", corrected)
-        .when(F.col("style") == "multihop", chained).otherwise(clean)
-    )
+    values = {
+        "cues": cues, "cause": label, "other": other, "why": why, "unseen": unseen, "line": line,
+        "chain": kit.text(label, kit.chain), "confidence": F.format_string("%.2f", F.col("confidence")),
+    }
+    text = filled(kit.traces["clean"], values)
+    for style, template in kit.traces.items():
+        if style != "clean":
+            text = F.when(F.col("style") == style, filled(template, values)).otherwise(text)
+    return text
 
 
 def with_package(cases: DataFrame, kit: CaseKit) -> DataFrame:
@@ -220,25 +225,17 @@ def with_package(cases: DataFrame, kit: CaseKit) -> DataFrame:
 def artifacts(kit: CaseKit, label: Column) -> Column:
     """Cause analysis, work order, customer mail and diagram texts."""
     book = kit.book
-    evidence = F.when(F.size("evidence") > 0, F.array_join("evidence", "; ")).otherwise("see ticket")
-    rca = F.format_string(
-        "## Cause analysis\n**Leading cause:** %s (%s)\n\n**Why:** %s\n\n**Evidence:** %s\n\n"
-        "**Owner:** %s, severity %s, priority %s", label, book.fact(label, "runbook_id"),
-        kit.book_text(label, "why_technical"), evidence, book.fact(label, "owner_team"),
-        book.fact(label, "severity"), book.fact(label, "priority"))
-    order = F.format_string(
-        "## Work order\n- Owner: %s\n- Support: %s\n- Escalation: %s\n- ETA: %s\n\n**Steps:**\n%s",
-        book.fact(label, "owner_team"), book.fact(label, "support_contact"),
-        book.fact(label, "escalation"), kit.book_text(label, "eta_ttr"),
-        numbered_lines(kit.book_list(label, "fix_steps")))
-    credit = F.when(kit.book_text(label, "proactive") == "True", F.lit(
-        "We have added a one-month credit for the trouble."))
-    mail = F.concat_ws(" ", F.lit("Hello, thank you for writing."),
-                       kit.book_text(label, "why_plain"), kit.book_text(label, "customer_action"),
-                       credit, F.lit("We will check back that all works."))
-    diagram = F.format_string("flowchart LR\n  ticket --> %s --> owner", label)
-    return F.struct(rca.alias("rca_md"), order.alias("work_order_md"),
-                    mail.alias("customer_email"), diagram.alias("diagram_mermaid"))
+    evidence = F.when(F.size("evidence") > 0, F.array_join("evidence", "; ")).otherwise(F.lit(kit.no_evidence))
+    credit = F.when(kit.book_text(label, "proactive") == "True", F.concat(F.lit(kit.credit_note), F.lit(" ")))
+    values = {
+        "cause": label, "evidence": evidence, "steps": numbered_lines(kit.book_list(label, "fix_steps")),
+        "credit": F.coalesce(credit, F.lit("")),
+        **{n: book.fact(label, n) for n in ("runbook_id", "owner_team", "support_contact", "escalation",
+                                            "severity", "priority")},
+        **{n: kit.book_text(label, n) for n in ("why_plain", "why_technical", "eta_ttr", "customer_action")},
+    }
+    return F.struct(*[filled(kit.documents[n], values).alias(n)
+                      for n in ("rca_md", "work_order_md", "customer_email", "diagram_mermaid")])
 
 
 def draw_abstentions(attempts: DataFrame, kit: CaseKit, seed: int, key: str = "attempt",

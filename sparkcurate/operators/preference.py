@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcurate.functions import draw as D
 from sparkcurate.functions import text as X
 from sparkcurate.functions.chat import joined, message, think_block
-from sparkcurate.operators.generate import AUDIT, LANG, PERSONA, CaseKit, package_json, record_id
+from sparkcurate.operators.generate import AUDIT, LANG, PERSONA, CaseKit, filled, package_json, record_id
 
 # Fixed values. The kinds of faults.
 FAULTS = (
@@ -18,63 +16,46 @@ FAULTS = (
     "overpromise", "single_path",
 )
 
-Fault = Callable[[Column, Column, Column, Column], tuple[Column, Column]]
-
-
-def _guess(package: Column, label: Column, kit: CaseKit, confidence: float, why: str) -> Column:
-    book = kit.book
-    entry = F.array(F.struct(label.alias("rc"), F.lit("high").alias("likelihood"),
-                             F.lit(why).alias("why")))
-    out = package.withField("diagnosis.leading_root_cause", label)
-    out = out.withField("diagnosis.confidence", F.lit(confidence))
-    out = out.withField("diagnosis.differential", entry)
-    for name in ("runbook_id", "owner_team", "support_contact", "escalation", "severity",
-                 "priority"):
-        out = out.withField(name, book.fact(label, name))
-    return out
+# Fixed values. The confidence a faulty answer states, where the fault changes it.
+CONFIDENCE = {"cue_dropped": 0.74, "fabricated_telemetry": 0.95, "overconfident": 0.97, "forced_guess": 0.88}
 
 
 def rejected_side(kit: CaseKit, fault: str, package: Column, think: Column, label: Column,
                   other: Column) -> tuple[Column, Column]:
-    """(think, JSON) of the faulty answer. ``other`` is a different concrete label."""
-    if fault == "cue_dropped":
-        bad = _guess(package, other, kit, 0.74, "took the usual cause").withField(
-            "diagnosis.evidence_in_ticket", X.strings(("the screen shows it switched off",)))
-        return (F.format_string("It is switched off, so this is probably %s; the rest of the "
-                                "ticket adds nothing.", other), package_json(bad))
-    if fault == "fabricated_telemetry":
-        bad = package.withField("diagnosis.confidence", F.lit(0.95))
-        return (F.format_string("The webhook was delivered at T+28s and the record was not found, "
-                                "so it must be %s.", label), package_json(bad))
-    if fault == "overconfident":
-        sure = F.array(F.struct(label.alias("rc"), F.lit("certain").alias("likelihood"),
-                                F.lit("plain to see").alias("why")))
-        bad = package.withField("diagnosis.confidence", F.lit(0.97)).withField(
-            "diagnosis.differential", sure)
-        return (F.format_string("Plainly %s, nothing else to weigh. Confidence 0.97.", label),
-                package_json(bad))
-    if fault == "missing_fields":
-        return (think, package_json(package.dropFields("churn_risk", "compensation")))
-    if fault == "forced_guess":
-        bad = _guess(package, other, kit, 0.88, "guessed without a cue").withField(
-            "diagnosis.evidence_in_ticket", X.strings(()))
-        return (F.format_string("Little to go by, so I guess %s and move on.", other),
-                package_json(bad))
-    if fault == "overpromise":
-        offer = F.struct(F.lit("full refund and one year free").alias("offer"),
-                         F.lit(True).alias("proactive"),
-                         F.lit("promised to the customer").alias("note"))
-        bad = package.withField("compensation", offer).withField(
-            "artifacts.customer_email",
-            F.lit("We are sorry. You get a full refund and one year free of charge."))
-        return (think, package_json(bad))
-    if fault == "single_path":
-        only = F.transform(F.slice(package["customer_self_service"], 1, 1),
-                           lambda s: s.withField("if_fails", F.lit("contact support")))
-        bad = package.withField("customer_self_service", only)
-        return (F.concat(think, F.lit(" The customer gets the single likeliest fix.")),
-                package_json(bad))
-    raise ValueError(f"unknown fault {fault!r}")
+    """(think, JSON) of the faulty answer. ``other`` is a different concrete label.
+
+    What a fault changes is data, an entry of ``CaseKit.faults``: the fields below and the texts.
+    """
+    if fault not in FAULTS:
+        raise ValueError(f"unknown fault {fault!r}")
+    change, bad = kit.faults.get(fault, {}), package
+    named = other if change.get("takes_other") else label
+    if change.get("takes_other"):
+        bad = bad.withField("diagnosis.leading_root_cause", other)
+        for name in ("runbook_id", "owner_team", "support_contact", "escalation", "severity", "priority"):
+            bad = bad.withField(name, kit.book.fact(other, name))
+    if fault in CONFIDENCE:
+        bad = bad.withField("diagnosis.confidence", F.lit(CONFIDENCE[fault]))
+    if "only_cause" in change:
+        likelihood, why = change["only_cause"]
+        bad = bad.withField("diagnosis.differential", F.array(F.struct(
+            named.alias("rc"), F.lit(likelihood).alias("likelihood"), F.lit(why).alias("why"))))
+    if "evidence" in change:
+        bad = bad.withField("diagnosis.evidence_in_ticket", X.strings(tuple(change["evidence"])))
+    if "without" in change:
+        bad = bad.dropFields(*change["without"])
+    if "offer" in change:
+        offer, note = change["offer"]
+        bad = bad.withField("compensation", F.struct(
+            F.lit(offer).alias("offer"), F.lit(True).alias("proactive"), F.lit(note).alias("note")))
+    if "mail" in change:
+        bad = bad.withField("artifacts.customer_email", F.lit(change["mail"]))
+    if "one_step" in change:
+        bad = bad.withField("customer_self_service", F.transform(
+            F.slice(package["customer_self_service"], 1, 1),
+            lambda s: s.withField("if_fails", F.lit(change["one_step"]))))
+    said = filled(change.get("think", "{think}"), {"think": think, "cause": named})
+    return said, package_json(bad)
 
 
 def corrupt(cases: DataFrame, kit: CaseKit, seed: int, key: str = "attempt") -> DataFrame:

@@ -141,5 +141,39 @@ KIT = CaseKit(
                    "The battery dies within one hour."),
     route="person on duty",
     system_prompt="You sort tickets of an e-book service. Think first, then answer in JSON.",
+    traces={
+        "clean": "Reader says: {cues}. {line} Best fit {cause}; {other} is weaker, {why}. "
+                 "Open point: {unseen}. I stay at {confidence}.",
+        "selfcorrect": "First guess {other}. The words {cues} do not fit it, {why}. {line} So {cause}, "
+                       "at {confidence}, with {unseen} still open.",
+        "multihop": "Step by step: {chain}. The words {cues} match. {line} That makes it {cause} at "
+                    "{confidence}; {unseen} would settle it.",
+    },
+    documents={
+        "rca_md": "# {cause}\n{why_technical}\nSeen in the ticket: {evidence}\nBook: {runbook_id}, held by "
+                  "{owner_team} ({severity}/{priority})",
+        "work_order_md": "# Task for {owner_team}\n{steps}\nDesk {support_contact}, then {escalation}. Due: {eta_ttr}",
+        "customer_email": "Dear reader, {why_plain} {customer_action} {credit}Happy reading!",
+        "diagram_mermaid": "graph TD\n  shelf --> {cause}\n  {cause} --> desk",
+    },
+    faults={
+        "cue_dropped": {
+            "takes_other": True, "evidence": ("a shelf with no lamp on",),
+            "only_cause": ("high", "most shelves have it"),
+            "think": "Shelves mostly suffer from {cause}. I skip the reader's words."},
+        "fabricated_telemetry": {"think": "Our sync webhook fired an hour ago, which leaves {cause}."},
+        "overconfident": {
+            "only_cause": ("sure", "no other book on the table"), "think": "{cause}. No doubt at 0.97."},
+        "missing_fields": {"without": ("churn_risk", "compensation")},
+        "forced_guess": {
+            "takes_other": True, "evidence": (), "only_cause": ("high", "picked from the list"),
+            "think": "No cue at all; I name {cause} anyway."},
+        "overpromise": {
+            "offer": ("every title free for life", "said in the mail"),
+            "mail": "Dear reader, all your titles are free for life from today."},
+        "single_path": {"one_step": "ask the desk", "think": "{think} One step will do."},
+    },
+    no_evidence="nothing quoted",
+    credit_note="A month on the house is booked.",
     escalate_notes={"SYNC_STALLED": {"radio_off": "ask us for a radio check of the device."}},
 )
