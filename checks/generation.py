@@ -192,12 +192,11 @@ def cycled_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {RUNBOOK_SQL}
-SELECT label, '**' || runbook_id || ' — ' || title || '**' || chr(10) || '*Owner: ' || owner_team || ' · Severity: ' || severity || ' · Priority: P1*'
- || chr(10) || chr(10) || '**When this applies.** ' || title || '; ' || owner_team || '.' || chr(10) || chr(10) || '**Confirm before acting.**' || chr(10) || '1. ' || support_contact
- || chr(10) || chr(10) || '**Resolution steps.**' || chr(10) || '1. ' || title || chr(10) || '2. ' || owner_team
- || chr(10) || chr(10) || '**Time to resolution.** ' || eta_ttr || '.' || chr(10) || chr(10) || '**Escalation.** chief.'
- || chr(10) || chr(10) || '**Retention.** Churn risk: low — calm.'
- || chr(10) || chr(10) || '**Goodwill.** Offer: credit; ' || CASE WHEN i % 2 = 0 THEN 'proactively offered' ELSE 'not offered proactively' END || '; escalate if asked. once.' AS document
+SELECT label, '# ' || runbook_id || ' ' || title || chr(10) || owner_team || ', ' || severity || ', P1' || chr(10)
+ || '## Use for' || chr(10) || title || '; ' || owner_team || '.' || chr(10) || '## Look at first' || chr(10) || '1. ' || support_contact || chr(10)
+ || '## Do' || chr(10) || '1. ' || title || chr(10) || '2. ' || owner_team || chr(10) || '## Takes' || chr(10) || eta_ttr || chr(10)
+ || '## Then ask' || chr(10) || 'chief' || chr(10) || '## May leave' || chr(10) || 'low, calm' || chr(10)
+ || '## May get' || chr(10) || 'credit, ' || CASE WHEN i % 2 = 0 THEN 'unasked' ELSE 'on request' END || ', asked, once' AS document
 FROM b""")
 def runbook_documents(spark: SparkSession, sf: str) -> DataFrame:
     """GE14: runbooks rendered as pages."""
