@@ -16,7 +16,6 @@ search moves edges between distinct fingerprints only, each round written to the
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations, product
 
 import numpy as np
@@ -67,12 +66,17 @@ def _remainder(word: int) -> int:
     return word
 
 
-@lru_cache(maxsize=8)
+#: Tables of :func:`segment_keys` by width; a task builds each once.
+TABLES: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+
+
 def segment_keys(width: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """For every value of a segment: the index of its nearest codeword, and all it must answer to.
 
     A segment fills the leading bits of the 23. The index of a codeword is its first twelve bits.
     """
+    if width in TABLES:
+        return TABLES[width]
     single = [_remainder(1 << i) for i in range(23)]
     leader = np.full(2048, -1, dtype=np.int64)
     fours: dict[int, list[int]] = {}
@@ -93,7 +97,8 @@ def segment_keys(width: int) -> tuple[np.ndarray, list[np.ndarray]]:
     nearest = (words ^ leader[syndromes]) >> 11
     near = {s: np.array([int(leader[s]), *fours.get(s, [])]) for s in range(2048)}
     answers = [(w ^ near[s]) >> 11 for w, s in zip(words.tolist(), syndromes.tolist(), strict=True)]
-    return nearest, answers
+    TABLES[width] = nearest, answers
+    return TABLES[width]
 
 
 def widths(segments: int) -> list[int]:
