@@ -112,7 +112,7 @@ SELECT doc_id, (CASE WHEN keep = 0 THEN n ELSE keep END)::BIGINT AS turns,
   md5(CASE WHEN given THEN 'ref ' || doc_id WHEN last > 0 AND p[last] <> '' THEN p[last] ELSE 'none' END) AS reference
 FROM k""")
 def gold_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    """PR4, PR10, SC7: gold normalisation of message arrays, with and without a reference."""
+    """PR4, PR10: gold normalisation of message arrays, with and without a reference."""
     none = F.lit(None).cast("string")
     rows = line_chats(spark, sf).select(
         F.col("doc_id").cast("string").alias("id"), none.alias("mode"), none.alias("persona"),

@@ -229,7 +229,7 @@ def classified_tickets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id AS attempt, floor(" + _u("u").replace("i ||", "event_id ||") + " * 1000)::BIGINT AS per_mille FROM events")
 def uniform_draws(spark: SparkSession, sf: str) -> DataFrame:
-    """TK6, GE1: draws that depend on seed and key alone."""
+    """GE1: draws that depend on seed and key alone."""
     k = F.col("event_id")
     return table(spark, sf, "events").select(
         k.alias("attempt"), F.floor(D.uniform(SEED, k, "u") * 1000).alias("per_mille"))

@@ -108,7 +108,7 @@ def valid_distribution(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 WITH {CHECKED} SELECT i AS doc_id, data_type FROM checked WHERE valid AND audit_status = 'approved'""")
 def audited_records(spark: SparkSession, sf: str) -> DataFrame:
-    """FI1, SC6: what remains after rules and audit filter."""
+    """FI1: what remains after rules and audit filter."""
     kept = validate.keep_audited(validate.check_records(records(spark, sf), MODES))
     return kept.select("doc_id", "data_type")
 

@@ -40,7 +40,7 @@ five AS (SELECT *, (click * 2 + view + purchase * 1.5::DOUBLE + error * 0.5::DOU
 WITH {SCORES} SELECT mode, n, round(s, 6) AS score_5, round((s - 1) / 4 * 10, 6) AS score_10, round(click, 6) AS click,
   round(view, 6) AS view, round(purchase, 6) AS purchase, round(error, 6) AS error, absent FROM five""")
 def rubric_by_mode(spark: SparkSession, sf: str) -> DataFrame:
-    """AG8, AG9, PR15: weighted rubric means per mode and overall."""
+    """AG8, AG9: weighted rubric means per mode and overall."""
     cases = rubric.case_scores(scores(spark, sf), list(WEIGHTS))
     return round6(rubric.summarise_by_mode(cases, WEIGHTS))
 
@@ -278,7 +278,7 @@ def training_summary(spark: SparkSession, sf: str) -> DataFrame:
 WITH f AS (SELECT 'run' || (o_custkey % 50) AS run, 'p' || o_orderkey AS path, CASE WHEN o_orderkey % 40 <> 0 THEN o_orderkey % 1000 END AS step FROM orders)
 SELECT run, path, step FROM f QUALIFY row_number() OVER (PARTITION BY run ORDER BY (step IS NULL) DESC, coalesce(step, -1) DESC, path DESC) = 1""")
 def best_log(spark: SparkSession, sf: str) -> DataFrame:
-    """SC11, WI8: the most complete log file of each run."""
+    """WI8: the most complete log file of each run."""
     k = F.col("o_orderkey")
     files = table(spark, sf, "orders").select(
         F.concat(F.lit("run"), (F.col("o_custkey") % 50).cast("string")).alias("run"),

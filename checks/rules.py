@@ -126,7 +126,7 @@ def verdict_report(spark: SparkSession, sf: str) -> DataFrame:
 WITH {FACTS} SELECT i AS id FROM v WHERE parsed AND no_claims AND n_ok = n_ev AND label IN ('ALPHA', 'BETA', 'GAMMA', 'UNDECIDED')
   AND calibrated AND runbook AND sub_ok AND ladder AND no_promise""")
 def accepted_trusted(spark: SparkSession, sf: str) -> DataFrame:
-    """FI2, TX16, GE8: the gate with the author's label trusted."""
+    """FI2, TX16: the gate with the author's label trusted."""
     judged = R.judge_answers(answers(spark, sf), BOOK, trust_label=True)
     return R.accept(judged).select("id")
 
