@@ -13,6 +13,11 @@ STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 
 LOOSE = "map<string,string>"
 
+# Fixed values. The written form of tool calls.
+TOOL_CALL = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
+TOOL_FUNCTION = r"(?s)<function=([^>\s]+)>(.*?)</function>"
+TOOL_PARAMETER = r"(?s)<parameter=([^>\s]+)>\s*(.*?)\s*</parameter>"
+
 
 def think_text(text: Column) -> Column:
     """Content of the first thinking block, '' without one."""
@@ -98,7 +103,7 @@ def _coerced(value: Column) -> Column:
 
 def tool_calls(text: Column) -> Column:
     """``ARRAY<STRUCT<name, arguments MAP>>`` of the JSON and the tag form; bad JSON is skipped."""
-    bodies = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), 1)
+    bodies = F.regexp_extract_all(text, F.lit(TOOL_CALL), 1)
     empty = F.create_map().cast(LOOSE)
 
     def from_object(body: Column) -> Column:
@@ -113,10 +118,10 @@ def tool_calls(text: Column) -> Column:
         return let(whole_json(body), build)
 
     def from_tags(body: Column) -> Column:
-        pattern = r"(?s)<function=([^>\s]+)>(.*?)</function>"
+        pattern = TOOL_FUNCTION
         name = F.regexp_extract(body, pattern, 1)
         inner = F.regexp_extract(body, pattern, 2)
-        parameter = F.lit(r"(?s)<parameter=([^>\s]+)>\s*(.*?)\s*</parameter>")
+        parameter = F.lit(TOOL_PARAMETER)
         keys = F.regexp_extract_all(inner, parameter, 1)
         values = F.transform(F.regexp_extract_all(inner, parameter, 2), _coerced)
         last = F.filter(  # a repeated parameter keeps its last value

@@ -94,6 +94,7 @@ def by_price(groups: DataFrame) -> DataFrame:
     )
 
 
+# The template of a display line.
 def catalog_line(groups: DataFrame) -> DataFrame:
     """One display line per group."""
     def part(template: str, column: str) -> Column:
