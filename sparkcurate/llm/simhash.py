@@ -198,6 +198,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def least_rows(rows: DataFrame, roots: DataFrame, row: str, node: str) -> DataFrame:
+    """Of each group one of ``rows``: that with the least (doc_id, text hash, row number), null ids last.
+
+    ``row`` and ``node`` name the columns of the row number and of the node of the row's text; ``roots``
+    (node, root) has the nodes that are linked. A group is its root, whatever ids its rows carry. Minima
+    combine before the shuffle, so a node or group of any size is reduced where its rows lie.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"),
+                     F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"), F.col(row).alias("row"))
+    nodes = rows.groupBy(F.col(node).alias("of")).agg(F.min(order).alias("best"))
+    linked = nodes.join(roots, nodes["of"] == roots["node"], "left").select(
+        F.coalesce("root", "of").alias("root"), "best")
+    kept = linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return rows.join(kept, row, "left_semi")
+
+
 def one_per_group(docs: DataFrame) -> DataFrame:
     """Documents without their near-duplicates: of each group the row with the smallest id.
 
