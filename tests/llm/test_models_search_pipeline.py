@@ -114,6 +114,36 @@ def test_bit_probabilities_sum_to_one():
     assert sum(shares) < 1.0
 
 
+def test_weights_learn_from_every_bit():
+    """The step of the weights over one block equals the gradient summed bit by bit."""
+    rng = np.random.default_rng(11)
+    text = b"abcdef ghi feed bad cafe " * 4
+    symbol = lm_scoring.symbols_of(np.bincount(np.frombuffer(text + b"\n", np.uint8), minlength=256))
+    pairs = rng.integers(0, 9, (lm_scoring.CODES**2, lm_scoring.CODES))
+    code = lm_scoring.Code(symbol, pairs)
+    words = {p: rng.integers(-60, 60, lm_scoring.PAGE // 2).astype(np.int8) for p in range(4)}
+    model = lm_scoring.Model(code, {}, words, 16)
+    moved = model.weights.copy()
+    model.cost(text.split(), moved, 0.06)
+    data = np.frombuffer(lm_scoring.coded(text.split()), dtype=np.uint8)
+    three, hashes = lm_scoring.last_codes(symbol[data]), lm_scoring.word_hashes(data)
+    of, at = code.bits((three & 0xFFF) << 6 | symbol[data])
+    sums, seen = np.zeros((4, lm_scoring.GATES)), np.zeros(lm_scoring.GATES)
+    for i, (byte, place) in enumerate(zip(of.tolist(), at.tolist(), strict=True)):
+        node, bit, depth = int(code.steps[place]) & 63, int(code.steps[place]) >> 6 & 1, int(code.steps[place]) >> 7
+        odds = [int(model.words[k][lm_scoring.word_slots(lm_scoring.word_rows(h[byte:byte + 1], 16), node)[0]])
+                for k, h in enumerate(hashes)]
+        gate = depth + sum(int(model.level[k][o & 255]) for k, o in enumerate(odds))
+        x = np.array([code.odds[place], model.three[(int(three[byte]) << 6) + node], *odds], dtype=float)
+        mixed = float(model.weights[:, gate] @ x)
+        sums[:, gate] += (bit - 1 / (1 + math.exp(-mixed))) * x
+        seen[gate] += 1
+    want = model.weights + 0.06 / lm_scoring.SCALE**2 * sums / np.sqrt(1 + seen)
+    want = np.clip(want, -0.5 / lm_scoring.SCALE, 1.5 / lm_scoring.SCALE)
+    assert len(data) <= lm_scoring.BLOCK and np.abs(want - model.weights).max() > 1e-4
+    assert np.allclose(moved, want, atol=1e-6)
+
+
 def test_language_model_scores(spark, edge_docs, edge_rows, no_docs):
     random.seed(9)
     syllables = ["ka", "mo", "ri", "tes", "un", "lo", "pri", "ant"]
