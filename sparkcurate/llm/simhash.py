@@ -21,7 +21,7 @@ from itertools import combinations, product
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcurate.llm.common import documents, own, small_batches, stored
@@ -171,6 +171,15 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def simhash_of(text: Column) -> Column:
+    """The fingerprint of a text column."""
+    @F.pandas_udf("bigint")
+    def simhash(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+
+    return simhash(text)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     segments: int = 4, radius: int = 4) -> DataFrame:
     """Fingerprint and group of every row: the id, ``fingerprint`` (16 hex digits), ``component_id``.
@@ -180,12 +189,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has fingerprint zero and links like any other. A null id never is a group's name: a group without
     any id has the name null. An empty table gives an empty result. Extra columns are ignored.
     """
-    @F.pandas_udf("bigint")
-    def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t) for t in texts], dtype="int64")
-
     docs = small_batches(docs)
-    rows = stored(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")))
+    rows = stored(docs.select(F.col(id_col).alias("id"), simhash_of(F.col(text_col)).alias("fp")))
     nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("id")))
     roots = components(fingerprint_links(nodes, segments, radius))
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
@@ -215,26 +220,17 @@ def least_rows(rows: DataFrame, roots: DataFrame, row: str, node: str) -> DataFr
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """Documents without their near-duplicates: of each group the row with the smallest id.
+    """Documents without their near-duplicates: of each group the row with the least id, null ids last.
 
-    Columns as given. Of repeated rows with that id one stays, the one with the smallest text hash;
-    in a group without any id, one row stays too.
+    Columns as given. A group is its linked fingerprints: rows without an id, or with the same one,
+    share a group only if their texts do. Of rows with the least id the one with the smallest text hash
+    stays, and of repeated ones the first.
     """
-    pick, count, mark = own("id"), own("n"), own("mark")
-    groups = near_duplicates(docs)
-    keep = groups.select("component_id").distinct().select(F.col("component_id").alias(pick))
-    named = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(pick)), "left_semi")
-    repeated = (
-        named.groupBy("doc_id").agg(F.count(F.lit(1)).alias(count)).where(F.col(count) > 1)
-        .select(F.col("doc_id").alias(pick))
-    )
-    again = F.col("doc_id").eqNullSafe(F.col(pick))
-    once = named.join(repeated, again, "left_anti")
-    others = named.join(repeated, again, "left_semi").withColumn(mark, F.xxhash64("text"))
-    least = others.groupBy("doc_id").agg(F.min(mark).alias(count)).select(
-        F.col("doc_id").alias(pick), count)
-    kept = others.join(least, again & (F.col(mark) == F.col(count)), "left_semi")
-    return once.unionByName(kept.drop(mark).dropDuplicates(["doc_id"]))
+    row, node = own("row"), own("fp")
+    marked = stored(small_batches(docs).withColumn(node, simhash_of(F.col("text"))).withColumn(
+        row, F.monotonically_increasing_id()))
+    roots = components(fingerprint_links(marked.select(F.col(node).alias("fp")).distinct()))
+    return least_rows(marked, roots, row, node).select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

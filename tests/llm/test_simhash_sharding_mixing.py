@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import mixing, sharding, simhash
+from sparkcurate.llm import mixing, near_copies, sharding, simhash
 
 
 def brute_fingerprint(text):
@@ -99,6 +99,16 @@ def test_one_document_of_each_group_stays(edge_docs, edge_rows, no_docs):
     assert simhash.one_per_group(no_docs).count() == 0
 
 
+def test_groups_without_an_id_or_with_a_repeated_one_stay_apart(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]),
+            (None, texts[4]), (9, texts[4]), (3, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (3, texts[5])])
+    for keep in (simhash.one_per_group, near_copies.one_per_group):
+        assert Counter(tuple(r) for r in keep(docs).collect()) == want
+
+
 def greedy(sizes, capacity):
     shards, used = [], 0
     for size in sizes:
