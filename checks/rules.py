@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.base import query, round6, table
+from checks.base import ORACLES, query, round6, table
 from checks.texts import (
     NORM,
     SIGNATURES,
@@ -113,7 +113,11 @@ SELECT i AS id, parsed AND no_claims AND n_ok = n_ev AND cue AND calibrated AND
 FROM v""")
 def verdict_report(spark: SparkSession, sf: str) -> DataFrame:
     """TX3, TX7-TX17, JO3, JO5, JO7, JO8, FI2: the full verdict."""
-    judged = R.judge_answers(answers(spark, sf), BOOK)
+    return verdict_columns(R.judge_answers(answers(spark, sf), BOOK))
+
+
+def verdict_columns(judged: DataFrame) -> DataFrame:
+    """The verdict as flat columns, failures counted."""
     v = "verdict."
     return judged.select(
         "id", v + "ok", F.size(v + "failures").alias("n_failures"),
@@ -122,6 +126,29 @@ def verdict_report(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(v + "telemetry_hits", "|").alias("hits"))
 
 
+def rule_tables(spark: SparkSession, sf: str) -> R.RuleTables:
+    """The rules of BOOK among a label per supplier that no document speaks of."""
+    supplier = table(spark, sf, "supplier").select(F.concat(F.lit("SUP"), F.col("s_suppkey").cast("string")).alias("label"), "s_name")
+    known = spark.createDataFrame([(k, *[v[c] for c in ("runbook_id", *R.COPIED_FIELDS, "severity", "priority")])
+                                   for k, v in BOOK.runbooks.items()],
+                                  f"label string, runbook_id string, {', '.join(f'{c} string' for c in R.COPIED_FIELDS)}, severity string, priority string")
+    books = known.unionByName(supplier.select(
+        "label", F.concat(F.lit("RB-"), "label").alias("runbook_id"), *[F.col("s_name").alias(c) for c in R.COPIED_FIELDS],
+        F.lit("S1").alias("severity"), F.lit("P3").alias("priority")))
+    cues = spark.createDataFrame([(k, i, phrases) for k, groups in SIGNATURES.items() for i, phrases in enumerate(groups)],
+                                 "label string, sig_id int, phrases array<string>")
+    cues = cues.unionByName(supplier.select("label", F.lit(0).alias("sig_id"), F.array(
+        X.normalise(F.col("s_name")), F.lit("q q"), F.lower("label")).alias("phrases")))
+    subs = books.select("label", F.lit("sub1").alias("sub_cause"), F.lit("S3").alias("severity"))
+    return R.RuleTables(books, cues, ABSTAIN, subs)
+
+
+@query(ORACLES["verdict_report"])
+def verdict_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """JO3, JO5, JO7, JO8: the full verdict with rules looked up in tables."""
+    return verdict_columns(R.judge_answers(answers(spark, sf), rule_tables(spark, sf)))
+
+
 @query(f"""
 WITH {FACTS} SELECT i AS id FROM v WHERE parsed AND no_claims AND n_ok = n_ev AND label IN ('ALPHA', 'BETA', 'GAMMA', 'UNDECIDED')
   AND calibrated AND runbook AND sub_ok AND ladder AND no_promise""")

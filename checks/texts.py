@@ -75,6 +75,27 @@ def cue_labels(spark: SparkSession, sf: str) -> DataFrame:
                        X.has_signature(F.col("norm"), OFF).alias("off_catalogue"))
 
 
+PHRASES = """
+c AS (SELECT doc_id AS k, 1 AS sig, [substr(norm, 5, 14), substr(norm, 40, 9)] AS phrases FROM n WHERE doc_id % 4 = 0 AND length(norm) >= 70
+      UNION ALL SELECT doc_id, 2, [substr(norm, 60, 11)] FROM n WHERE doc_id % 4 = 0 AND length(norm) >= 70)
+"""
+
+
+@query(f"""
+WITH n AS (SELECT doc_id, {NORM} AS norm FROM documents), {PHRASES}
+SELECT DISTINCT doc_id, 'D' || k AS label FROM n JOIN c ON contains(norm, phrases[1]) AND contains(norm, coalesce(phrases[2], ''))""")
+def phrase_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """TX6, JO7, FI5: labels by a dictionary that grows with the documents; phrases begin and end inside words."""
+    from sparkcurate.operators.phrases import cue_matches
+
+    rows = table(spark, sf, "documents", "doc_id", "text").select("doc_id", X.normalise(F.col("text")).alias("norm"))
+    said = rows.where((F.col("doc_id") % 4 == 0) & (F.length("norm") >= 70))
+    cut = [(1, F.array(F.substring("norm", 5, 14), F.substring("norm", 40, 9))), (2, F.array(F.substring("norm", 60, 11)))]
+    cues = said.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("label"), F.explode(F.array(*[
+        F.struct(F.lit(sig).alias("sig_id"), phrases.alias("phrases")) for sig, phrases in cut])).alias("c"))
+    return cue_matches(rows, cues.select("label", "c.*"), "doc_id", "norm")
+
+
 MAIL, LICENCE, SCRIPT = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]+", r"(?i)\b(?:licen[cs]e|copyright)\b",
     r"(?i)<script",

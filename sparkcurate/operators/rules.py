@@ -2,8 +2,9 @@
 
 A :class:`RuleBook` holds the domain: labels, cue signatures, the runbook facts an answer must copy.
 It is a parameter object of bounded size, turned into literal expressions, so judging an answer
-table is a chain of row-local projections without a join or a shuffle. The projections are staged:
-parsed JSON, normalised text and token arrays become columns once and are reused.
+table is a chain of row-local projections without a join or a shuffle. :class:`RuleTables` holds the same
+domain as tables of any size; the verdict then looks its facts up by keyed joins. The projections are
+staged: parsed JSON, normalised text and token arrays become columns once and are reused.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from sparkcurate.functions import answers as A
 from sparkcurate.functions import text as X
+from sparkcurate.operators.lookup import allowed_severities, look_up
+from sparkcurate.operators.phrases import detected_labels
 from sparkcurate.schemas import ARTIFACTS, PACKAGE, PARSE_FAIL, REQUIRED_FIELDS
-from sparkcurate.session import pin
+from sparkcurate.session import cut_lineage, pin
 
 # Fixed values. Confidence limits for a raw ticket and for an abstention.
 MAX_CONFIDENCE, MAX_ABSTAIN_CONFIDENCE = 0.85, 0.45
@@ -53,6 +56,22 @@ class RuleBook:
         table = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
         return F.try_element_at(table, label)
 
+    def attach(self, answers: DataFrame) -> DataFrame:
+        """``answers`` as they are: every fact is a literal."""
+        return answers
+
+    def detected(self, normalised: Column) -> Column:
+        """Labels whose cues occur in a normalised text."""
+        return X.detect_labels(normalised, self.signatures)
+
+    def concrete(self, label: Column) -> Column:
+        """Whether the label has a runbook."""
+        return label.isin(*self.labels)
+
+    def cites(self, runbook_id: Column) -> Column:
+        """Whether the id is that of a concrete runbook."""
+        return runbook_id.isin(*self.runbook_ids())
+
     def runbook_ids(self) -> list[str]:
         """Ids of the concrete runbooks."""
         return [r["runbook_id"] for r in self.runbooks.values()]
@@ -79,7 +98,7 @@ class RuleBook:
         def bounded(df: DataFrame) -> list:
             rows = df.limit(MAX_DIMENSION_ROWS + 1).collect()
             if len(rows) > MAX_DIMENSION_ROWS:
-                raise ValueError("a dimension table is too large to be a rule parameter")
+                raise ValueError("a dimension table is too large to be a rule parameter: use RuleTables")
             return rows
 
         books = {r["label"]: r.asDict(recursive=True) for r in bounded(runbooks)}
@@ -92,6 +111,62 @@ class RuleBook:
         return cls(tuple(books), abstain, signatures, books, subs, **other)
 
 
+@dataclass(frozen=True)
+class RuleTables:
+    """The domain of the verdict as tables, with no bound on labels, cues or sub causes.
+
+    ``runbooks``: label, runbook_id, owner_team, support_contact, escalation, severity, priority; one row per label.
+    ``cues``: label, sig_id, phrases. ``sub_causes``: label, sub_cause, severity. A label without a cue is never detected.
+    Cue phrases must be normalised. Detected labels come in ascending order.
+    """
+
+    runbooks: DataFrame
+    cues: DataFrame
+    abstain: str
+    sub_causes: DataFrame
+    claim_patterns: Sequence[str] = X.CLAIM_PATTERNS
+    promise_patterns: Sequence[str] = X.PROMISE_PATTERNS
+
+    def attach(self, answers: DataFrame) -> DataFrame:
+        """``answers`` (with ``label``, ``sub_cause``, ``_cited`` and ``_norm``) with the facts that the verdict asks for."""
+        own = [c for c in answers.columns if c not in ("_fact", "_allowed", "_sub", "_book", "detected")]
+        rows = cut_lineage(answers.select(*own, F.monotonically_increasing_id().alias("_row")))
+        books = self.runbooks.groupBy("label").agg(F.first(F.struct("runbook_id", *COPIED_FIELDS, "severity", "priority")).alias("_fact"))
+        allowed = allowed_severities(self.runbooks, self.sub_causes).withColumnRenamed("allowed", "_allowed")
+        subs = self.sub_causes.select("label", "sub_cause").distinct().withColumn("_sub", F.lit(True))
+        ids = self.runbooks.select(F.col("runbook_id").alias("_cited")).distinct().withColumn("_book", F.lit(True))
+        texts = rows.select("_row", F.col("_norm").alias("text"))
+        found = detected_labels(texts, self.cues, "_row")
+        facts = rows.select("_row", "label", "sub_cause", "_cited")
+        for table, keys in ((books, ["label"]), (allowed, ["label"]), (subs, ["label", "sub_cause"]), (ids, ["_cited"])):
+            facts = cut_lineage(look_up(facts, table, keys))
+        return rows.join(facts.drop("label", "sub_cause", "_cited").join(found, "_row"), "_row").drop("_row")
+
+    def detected(self, normalised: Column) -> Column:
+        """The attached labels."""
+        return F.col("detected")
+
+    def fact(self, label: Column, name: str) -> Column:
+        """An attached runbook field."""
+        return F.col("_fact")[name]
+
+    def severities(self, label: Column) -> Column:
+        """The attached severities."""
+        return F.col("_allowed")
+
+    def concrete(self, label: Column) -> Column:
+        """Whether a runbook was found for the label."""
+        return F.col("_fact").isNotNull()
+
+    def cites(self, runbook_id: Column) -> Column:
+        """Whether a runbook with that id was found."""
+        return F.coalesce("_book", F.lit(False))
+
+    def known_sub_cause(self, label: Column, sub_cause: Column) -> Column:
+        """Whether the sub cause was found for the label."""
+        return F.coalesce("_sub", F.lit(False))
+
+
 def parse_answers(answers: DataFrame, answer: str = "answer") -> DataFrame:
     """Add ``think``, ``loose`` (keys as JSON text), ``parse_ok``, ``pkg`` and ``type_error``.
 
@@ -168,7 +243,7 @@ def _same(found: Column, expected: Column) -> Column:
     return F.coalesce(X.strip(found), F.lit("")) == F.coalesce(X.strip(expected), F.lit(""))
 
 
-def fidelity_failures(pkg: Column, label: Column, book: RuleBook) -> Column:
+def fidelity_failures(pkg: Column, label: Column, book: RuleBook | RuleTables) -> Column:
     """What differs from the label's runbook."""
     severity = F.coalesce(X.strip(pkg["severity"]), F.lit(""))
     allowed = F.exists(book.severities(label), lambda a: F.startswith(severity, a))
@@ -181,7 +256,7 @@ def fidelity_failures(pkg: Column, label: Column, book: RuleBook) -> Column:
     return F.array_compact(F.array(*[F.when(~ok, F.lit(text)) for ok, text in rules]))
 
 
-def judge_answers(answers: DataFrame, book: RuleBook, ticket: str = "complaint",
+def judge_answers(answers: DataFrame, book: RuleBook | RuleTables, ticket: str = "complaint",
                   answer: str = "answer", trust_label: bool = False) -> DataFrame:
     """Add the parsed answer, the rule flags and the ``verdict`` struct.
 
@@ -195,19 +270,19 @@ def judge_answers(answers: DataFrame, book: RuleBook, ticket: str = "complaint",
         "confidence": A.to_number(F.col("pkg.diagnosis.confidence")),
         "evidence": F.coalesce(F.col("pkg.diagnosis.evidence_in_ticket"), X.strings(())),
         "sub_cause": F.coalesce(X.strip(F.col("pkg.diagnosis.sub_cause")), F.lit("")),
-        "_norm": norm,
+        "_norm": norm, "_cited": F.coalesce(X.strip(F.col("pkg.runbook_id")), F.lit("")),
         "_claims_in": F.when(F.col("parse_ok"), reasoning_scope(F.col("think"), F.col("pkg")))
         .otherwise(F.col("think")),
         "_promises_in": customer_scope(F.col("pkg")),
     })
-    stage2 = pin(stage1).withColumns({
-        "detected": X.detect_labels(F.col("_norm"), book.signatures),
+    stage2 = book.attach(pin(stage1)).withColumns({
+        "detected": book.detected(F.col("_norm")),
         "_tokens": X.norm_tokens(F.col("_norm")),
         "claim_hits": X.pattern_hits(F.col("_claims_in"), book.claim_patterns),
         "promise_hits": X.pattern_hits(F.col("_promises_in"), book.promise_patterns),
         "ladder_ok": ladder_ok(F.col("pkg.customer_self_service")),
         "fidelity": F.when(
-            F.col("label").isin(*book.labels),
+            book.concrete(F.col("label")),
             fidelity_failures(F.col("pkg"), F.col("label"), book),
         ),
     })
@@ -217,21 +292,21 @@ def judge_answers(answers: DataFrame, book: RuleBook, ticket: str = "complaint",
             X.is_grounded(e, F.col("_tokens")), F.lit(False))),
     )
     judged = pin(_with_verdict(pin(stage3), book, trust_label))
-    return judged.drop("_norm", "_tokens", "_claims_in", "_promises_in")
+    return judged.drop("_norm", "_cited", "_tokens", "_claims_in", "_promises_in", "_fact", "_allowed", "_sub", "_book")
 
 
-def _with_verdict(df: DataFrame, book: RuleBook, trust_label: bool) -> DataFrame:
+def _with_verdict(df: DataFrame, book: RuleBook | RuleTables, trust_label: bool) -> DataFrame:
     label, conf = F.col("label"), F.col("confidence")
-    concrete, abstains = label.isin(*book.labels), label == book.abstain
+    concrete, abstains = book.concrete(label), label == book.abstain
     if trust_label:
-        cue_ok = label.isin(*book.all_labels)
+        cue_ok = concrete | abstains
     else:
         cue_ok = (
             F.when(abstains, F.size("detected") != 1)
             .when(concrete, F.array_contains("detected", label)).otherwise(F.lit(False))
         )
     limit = F.when(abstains, F.lit(MAX_ABSTAIN_CONFIDENCE)).otherwise(F.lit(MAX_CONFIDENCE))
-    routed = ~F.coalesce(X.strip(F.col("pkg.runbook_id")), F.lit("")).isin(*book.runbook_ids())
+    routed = ~book.cites(F.col("_cited"))
     sub = F.col("sub_cause")
     rules = df.withColumns({
         "no_claims": F.size("claim_hits") == 0,
@@ -244,7 +319,7 @@ def _with_verdict(df: DataFrame, book: RuleBook, trust_label: bool) -> DataFrame
     })
     quoted = F.concat(F.lit("'"), label, F.lit("'"))
     cue_text = (
-        F.when(~label.isin(*book.all_labels), F.concat(F.lit("unknown label: "), quoted))
+        F.when(~(concrete | abstains), F.concat(F.lit("unknown label: "), quoted))
         .when(abstains, F.lit("abstained although exactly one label has a cue"))
         .otherwise(F.concat(F.lit("no cue supports label "), quoted))
     )

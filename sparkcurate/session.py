@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast, count, lit
+from pyspark.sql.functions import broadcast, col, count, lit, octet_length, struct, to_json
+from pyspark.sql.functions import sum as spark_sum
 
 #: Settings every job of this package relies on. All of them are ordinary Spark options; a cluster's
 #: own defaults win for anything not listed here.
@@ -80,6 +81,16 @@ def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return broadcast(df.sparkSession.createDataFrame(head, df.schema))
 
 
+def broadcast_below(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """A stored join side, broadcast if its values take at most ``max_bytes``, else unchanged.
+
+    The size is measured by one pass over all rows, in the form they have as JSON; nothing is collected.
+    """
+    width = octet_length(to_json(struct(*[col(c) for c in df.columns])))
+    size = df.agg(spark_sum(width + lit(16))).first()[0] or 0
+    return broadcast(df) if size <= max_bytes else df
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Mark the computed columns of ``df`` as finished.
 
