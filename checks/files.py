@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks.base import KPI_SQL, LABELS, SAMPLES, UNSURE, query, round6, samples, table
 from checks.generation import SEED, runbooks
 from checks.records import CHECKED, MODES, STRATA, records
+from checks.reports import WEIGHTS, scores
 from sparkcurate.operators import generate as G
-from sparkcurate.operators import kpi, order, split
+from sparkcurate.operators import kpi, order, rubric, split
+from sparkcurate.operators import reports as rep
 from sparkcurate.plans import build
 from sparkcurate.plans.example_domain import BOOK, KIT
 from sparkcurate.session import fresh_path
@@ -87,6 +89,71 @@ def report_files(spark: SparkSession, sf: str) -> DataFrame:
     return round6(R.read_reports(spark, root).select("run", "n", "rc_accuracy", "rc_accuracy_clear"))
 
 
+RUBRIC_RUNS = """
+scores AS (SELECT user_id AS sample_id, 'm' || (user_id % 5) AS mode, 'j' || (event_id % 3) AS run,
+  event_type AS criterion, least(5::DOUBLE, greatest(1::DOUBLE, value / 10)) AS score FROM events),
+cases AS (SELECT run, sample_id, mode, avg(score) FILTER (WHERE criterion = 'click') AS click, avg(score) FILTER (WHERE criterion = 'view') AS view,
+  avg(score) FILTER (WHERE criterion = 'purchase') AS purchase, avg(score) FILTER (WHERE criterion = 'error') AS error FROM scores GROUP BY ALL),
+five AS (SELECT run, coalesce(mode, 'overall') AS mode, count(*) AS n, (coalesce(avg(click), 0) * 2 + coalesce(avg(view), 0)
+  + coalesce(avg(purchase), 0) * 1.5::DOUBLE + coalesce(avg(error), 0) * 0.5::DOUBLE) / 6::DOUBLE AS s
+  FROM cases GROUP BY GROUPING SETS ((run, mode), (run))),
+ten AS (SELECT run, mode, n, round_even((s - 1) / 4 * 10, 4) AS score_10 FROM five)
+"""
+
+
+def _mixed_reports(spark: SparkSession, sf: str) -> str:
+    """KPI reports per source and rubric reports per judge under one root, and a file that is no report."""
+    root = fresh_path(spark, "mixed")
+    judged = scores(spark, sf)
+    parts = [rubric.rounded(rubric.summarise_by_mode(rubric.case_scores(judged.where(F.col("judge") == f"j{k}"), list(WEIGHTS)), WEIGHTS))
+             .withColumn("run", F.lit(f"j{k}")) for k in range(3)]
+    marks = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    extras = F.struct(F.concat(F.lit("model-"), "run").alias("model"), F.struct(F.lit(0.25).alias("win")).alias("pairwise_vs_reference"))
+    W.write_reports(rep.rubric_payload(marks).withColumn("extras", extras), root)
+    report = kpi.kpi_report(samples(spark, sf), LABELS, UNSURE, ("run",))
+    report.write.mode("append").partitionBy("run").json(root)
+    W.write_raw_lines(spark.range(1).select(F.lit('{"overall": {').alias("value")), f"{root}/broken/report.json")
+    return root
+
+
+@query(f"""
+WITH {SAMPLES}, {RUBRIC_RUNS}, k AS (SELECT run, {KPI_SQL} FROM samples GROUP BY run),
+b AS (SELECT run, 'kpi' AS kind, '?' AS model, n, round(rc_accuracy_clear * 10, 5) AS score_10, round(no_fabrication_rate, 4) AS no_fabrication, NULL::DOUBLE AS win FROM k
+  UNION ALL SELECT run, 'rubric', 'model-' || run, n, score_10, NULL, 0.25 FROM ten WHERE mode = 'overall')
+SELECT *, row_number() OVER (ORDER BY score_10 DESC, coalesce(no_fabrication, 0) DESC, run) AS rank FROM b""")
+def report_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """PR15, SC10, WI5: KPI and rubric reports of one folder tree in one leaderboard."""
+    rows = rep.joint_leaderboard(R.read_report_variants(spark, _mixed_reports(spark, sf)))
+    return rows.withColumns({c: F.round(c, d) for c, d in (("score_10", 5), ("no_fabrication", 4))})
+
+
+@query(f"WITH {RUBRIC_RUNS} SELECT run, mode, n, score_10 FROM ten WHERE mode <> 'overall'")
+def report_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """PR15, AG8: the mode matrix of the rubric reports among others."""
+    return rep.mode_scores(R.read_report_variants(spark, _mixed_reports(spark, sf)))
+
+
+@query("""
+WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents)
+SELECT doc_id, place, doc_id % 7 <> 0 AS decoded FROM l WHERE doc_id % 10 <> 0""")
+def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """SC2, SC3: line numbers of files in document order, blank lines counted, broken ones kept."""
+    i = F.col("doc_id")
+    line = F.to_json(F.struct(i.alias("id"), F.col("source").alias("mode")))
+    value = F.when(i % 10 == 0, F.repeat(F.lit(" "), (i % 3).cast("int"))).when(i % 7 == 0, F.concat(line, F.lit("}"))).otherwise(line)
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    path = fresh_path(spark, "numbered")
+    W.write_raw_lines(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(value.alias("value")), path)
+    rows = R.read_jsonl(spark, f"{path}/*.txt", "id BIGINT, mode STRING", "quarantine", numbered=True).withColumn(
+        "doc_id", F.regexp_extract("value", r'"id":(\d+)', 1).cast("long"))
+    files = spark.read.text(f"{path}/*.txt").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("lines"))
+    # Files hold ranges of documents: a line's place among all is its number plus the lines of the files before.
+    before = Window.partitionBy(F.lit(1)).orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("file").agg(F.min("doc_id").alias("low")).join(files, "file").select(
+        "file", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    return rows.join(starts, "file").select("doc_id", (F.col("lineno") + F.col("before")).alias("place"), "decoded")
+
+
 @query("""
 SELECT p_brand AS series, count(*) AS n, sum((p_retailprice * 100)::BIGINT)::BIGINT AS price FROM part
 WHERE p_partkey % 10 <> 0 GROUP BY p_brand""")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkcurate import schemas as S
@@ -17,10 +17,11 @@ from sparkcurate.functions.answers import STRICT, one_object, one_value
 from sparkcurate.functions.chat import joined
 from sparkcurate.functions.text import is_blank, strip
 from sparkcurate.operators.validate import check_records, keep_audited, validation_stats
+from sparkcurate.session import broadcast_below, cut_lineage
 
 
-def _text(spark: SparkSession, paths: str | Sequence[str], empty_ok: bool) -> DataFrame:
-    """(file, value) lines; with ``empty_ok`` a path without files gives no rows."""
+def _lines(spark: SparkSession, paths: str | Sequence[str], empty_ok: bool, *more: Column) -> DataFrame:
+    """(file, value, more) lines, blank ones too; with ``empty_ok`` a path without files gives no rows."""
     listed = [paths] if isinstance(paths, str) else list(paths)
     found = []
     for path in listed:
@@ -30,13 +31,34 @@ def _text(spark: SparkSession, paths: str | Sequence[str], empty_ok: bool) -> Da
             if not empty_ok or error.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        found.append(lines.select(F.col("_metadata.file_path").alias("file"), "value"))
+        found.append(lines.select(F.col("_metadata.file_path").alias("file"), "value", *more))
     if not found:
-        return spark.createDataFrame([], "file STRING, value STRING")
+        empty = spark.createDataFrame([], "file STRING, value STRING")
+        return empty.select("*", *[F.lit(0).cast("long").alias(name) for name in ("block", "at") if more])
     out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.where(~is_blank(F.col("value")))
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def _text(spark: SparkSession, paths: str | Sequence[str], empty_ok: bool) -> DataFrame:
+    """(file, value) lines without blank ones; with ``empty_ok`` a path without files gives no rows."""
+    return _lines(spark, paths, empty_ok).where(~is_blank(F.col("value")))
+
+
+def read_numbered(spark: SparkSession, paths: str | Sequence[str], empty_ok: bool = False) -> DataFrame:
+    """(file, lineno, value): lines with their number in their file, from 1; blank lines count and are left out.
+
+    A line is numbered within the block of its file that a task read; the lines of earlier blocks are added.
+    The lines are stored first, so that both steps see the same blocks however the files are split.
+    """
+    block = F.col("_metadata.file_block_start").alias("block")
+    lines = cut_lineage(_lines(spark, paths, empty_ok, block, F.monotonically_increasing_id().alias("at")))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).select(
+        "file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = lines.where(~is_blank(F.col("value"))).join(broadcast_below(cut_lineage(blocks)), ["file", "block"])
+    return placed.select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("lineno"), "value")
 
 
 def split_paths(data_dir: str, data_types: Sequence[str]) -> list[str]:
@@ -57,29 +79,38 @@ def decode(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: str,
-               on_error: str = "fail", empty_ok: bool = False) -> DataFrame:
+               on_error: str = "fail", empty_ok: bool = False, numbered: bool = False) -> DataFrame:
     """JSON-lines scan. ``on_error``: ``fail`` aborts, ``quarantine`` keeps bad lines as rows with
-    ``decoded = false``, ``drop`` leaves them out. Blank lines are skipped."""
+    ``decoded = false``, ``drop`` leaves them out. Blank lines are skipped. ``numbered`` adds ``lineno``."""
     if on_error not in ("fail", "quarantine", "drop"):
         raise ValueError(f"unknown on_error {on_error!r}")
-    rows = decode(_text(spark, paths, empty_ok), schema)
+    lines = read_numbered(spark, paths, empty_ok) if numbered else _text(spark, paths, empty_ok)
+    rows = decode(lines, schema)
     if on_error == "fail":
         # as a filter, so that no column pruning can skip the check
-        bad = F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("file"))).cast("boolean")
+        where = [F.lit(":"), F.col("lineno").cast("string")] if numbered else []
+        bad = F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("file"), *where)).cast("boolean")
         rows = rows.where(F.when(F.col("decoded"), F.lit(True)).otherwise(bad))
     elif on_error == "drop":
         rows = rows.where("decoded")
-    return rows.select("file", "value", "decoded", "row.*")
+    return rows.select(*lines.columns, "decoded", "row.*")
 
 
 def read_records(spark: SparkSession, paths: str | Sequence[str], on_error: str = "quarantine",
-                 modes: Sequence[str] = S.MODES, empty_ok: bool = True) -> DataFrame:
-    """Record files with the contract checked: record columns, ``errors``, ``valid``, raw ``value``."""
-    rows = read_jsonl(spark, paths, S.RECORD, on_error, empty_ok)
+                 modes: Sequence[str] = S.MODES, empty_ok: bool = True, numbered: bool = False) -> DataFrame:
+    """Record files with the contract checked: record columns, ``errors``, ``valid``, raw ``value``;
+    ``lineno`` if ``numbered``."""
+    rows = read_jsonl(spark, paths, S.RECORD, on_error, empty_ok, numbered)
     rows = rows.withColumn("keys", F.from_json(F.col("value"), S.RECORD_KEYS, STRICT))
     return check_records(rows, modes, keyed=True).drop("keys")
 
 
+def invalid_lines(spark: SparkSession, paths: str | Sequence[str], modes: Sequence[str] = S.MODES) -> DataFrame:
+    """(file, lineno, error): the lines of record files that break the contract or are no JSON, each with its first error."""
+    rows = read_records(spark, paths, "quarantine", modes, numbered=True)
+    return rows.where(~F.col("valid")).select("file", "lineno", F.col("first_error").alias("error"))
+
+
 def load_split(spark: SparkSession, data_dir: str, data_types: Sequence[str] = S.DATA_TYPES,
                keep: Sequence[str] | None = S.KEEP_AUDIT, on_error: str = "fail",
                modes: Sequence[str] = S.MODES) -> tuple[DataFrame, DataFrame]:
@@ -153,6 +184,36 @@ def read_reports(spark: SparkSession, root: str, schema: str = S.KPI_REPORT) ->
     return raw.select(run.alias("run"), "*").where(F.col("_bad").isNull()).drop("_bad")
 
 
+def _decoded(name: Column) -> Column:
+    """A percent-encoded name in clear; a plus sign stays, and so does a name that is not encoded."""
+    return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+
+
+def read_report_variants(spark: SparkSession, root: str) -> DataFrame:
+    """(run, report): the reports of all runs under ``root`` as VARIANT values, whatever their shape.
+
+    Files ``<run>/report.json`` and lines in folders ``run=<run>`` are read; what is not one JSON object is skipped,
+    a root without reports gives no rows.
+    """
+    top = root.rstrip("/")
+    found = []
+    for pattern, whole, name in ((f"{top}/*/report.json", True, r"([^/]+)/report\.json(?:/[^/]+)?$"),
+                                 (f"{top}/run=*", False, r"/run=([^/]*)/[^/]+$")):
+        try:
+            raw = spark.read.text(pattern, wholetext=whole)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        run = _decoded(F.regexp_extract(F.col("_metadata.file_path"), name, 1))
+        run = run if whole else _decoded(run)  # a partition's folder is itself an encoded name
+        found.append(raw.select(run.alias("run"), F.try_parse_json("value").alias("report")))
+    if not found:
+        return spark.createDataFrame([], "run STRING, report STRING").withColumn("report", F.try_parse_json("report"))
+    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return rows.where(F.startswith(F.schema_of_variant("report"), F.lit("OBJECT<")))
+
+
 LOG_STATE = "log_history ARRAY<MAP<STRING, STRING>>"
 
 
