@@ -16,40 +16,68 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm.common import WORD, documents, small_batches, stored
+from sparkcurate.llm.common import documents, small_batches, stored
 
 #: Pieces that a task packs at a time, on average.
 PIECES = 8192
 #: Parts that get alike lengths: see ``_dealt``.
 DEALT = 64
-#: Entries of each of a tokenizer's two caches, and characters of the longest entry.
-CACHED, CACHED_CHARS = 1 << 19, 64
+#: Entries of each generation of a tokenizer's two caches, and bytes of the longest entry.
+CACHED, CACHED_BYTES = 1 << 18, 64
 #: Rounds of exchange at most; each but the last saves a sequence.
 ROUNDS = 60
 
-WORDS = re.compile(WORD)
-#: Fixed value: how the tokenizer's file splits words, said for ASCII in lower case.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-
+#: Fixed value: how the tokenizer's file splits words, said for lower-case words of the characters in ``PLAIN``.
+PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž\n]+")
+#: Lines with a special token or with other characters than ASCII and composed Latin letters.
+ODD = re.compile("[^\n]*(?:[^\n\x21-\x7eÀ-ÖØ-öø-įı-ž]|<[|])[^\n]*")
 #: Fixed value: the mark of a token that ends a word.
 WORD_END = "</w>"
+#: No id has these bytes: between words.
+BREAK = b"\xff\xff\xff\xff"
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+class Cache:
+    """A mapping of bounded size in two generations: entries in use move on, others go with theirs."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def have(self, wanted: set, make: Callable[[list], list[bytes]]) -> dict:
+        """A mapping with an entry for all of ``wanted``; what is missing is made."""
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = wanted.difference(young)
+        if not missing:
+            return young
+        kept = missing.intersection(old)
+        fresh = list(missing.difference(kept))
+        made = dict(zip(fresh, make(fresh), strict=True)) if fresh else {}
+        made.update((x, old[x]) for x in kept)
+        long = [x for x in fresh if len(x) > CACHED_BYTES]
+        if long or len(made) > CACHED:  # more than is to be kept: a mapping for this call
+            return {x: young[x] for x in wanted.difference(missing)} | made
+        young.update(made)
+        return young
+
+
 class Encoder:
     """Token ids as little-endian bytes, word by word through a cache.
 
     For tokenizers in lower case that drop white space and split words into letters, digits and the rest
-    (``PARTS``): a text's ids are then those of its words, and an ASCII word's those of its parts. Words that
-    are not ASCII or may hold a special token are encoded whole.
+    (``PARTS``): a text's ids are then those of its words, and a plain word's those of its parts. Words of
+    other characters, or that may hold a special token, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,48 +88,41 @@ class Encoder:
         names = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(names.values()) + 1, dtype=bool)
         self.closes[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Cache(), Cache()
 
-    def _fill(self, cache: dict[str, bytes], wanted: set[str], make) -> dict[str, bytes]:
-        """The entries of ``wanted`` that ``cache`` lacks, made and, if short, kept; a full cache starts anew."""
-        fresh = list(wanted.difference(cache))
-        made = dict(zip(fresh, make(fresh), strict=True)) if fresh else {}
-        if len(cache) + len(made) > CACHED:
-            made.update({w: cache[w] for w in wanted.intersection(cache)})
-            cache.clear()
-        for entry, ids in made.items():
-            if len(cache) < CACHED and len(entry) <= CACHED_CHARS:
-                cache[entry] = ids
-        return made
-
-    def _of_parts(self, parts: Sequence[str]) -> list[bytes]:
-        """Ids of each part: in one go where the marks of word ends tell the parts apart, else one by one."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.closes[ids]) + 1 if "<|" not in "".join(parts) else ()
-        if len(ends) == len(parts) and "".join(parts).isascii():
-            data, ends = ids.tobytes(), (4 * ends).tolist()
-            return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
-        made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
-    def _of_words(self, words: Sequence[str]) -> list[bytes]:
-        plain = [w.isascii() and "<|" not in w for w in words]
-        split = [PARTS.findall(w.lower()) if p else [w] for w, p in zip(words, plain, strict=True)]
-        made = self._fill(self.parts, {x for parts, p in zip(split, plain, strict=True) if p for x in parts}, self._of_parts)
-        whole = [w for w, p in zip(words, plain, strict=True) if not p]
-        made.update(zip(whole, self._of_parts(whole) if whole else [], strict=True))
-        kept = self.parts
-        return [b"".join([kept[p] if p in kept else made[p] for p in parts]) for parts in split]
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, all in one go: the marks of word ends tell them apart."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(parts):
+            return self._one_by_one(parts)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        text = b"\n".join(words).decode()
+        odd = [w.encode() for w in ODD.findall(text)]
+        if odd:
+            made = dict(zip(odd, self._one_by_one([w.decode() for w in odd]), strict=True))
+            plain = [w for w in words if w not in made]
+            made.update(zip(plain, self._of_words(plain) if plain else [], strict=True))
+            return [made[w] for w in words]
+        flat = PARTS.findall(text.lower())
+        parts = set(flat)
+        parts.discard("\n")
+        ids = self.parts.have(parts, self._of_parts)
+        ids["\n"] = BREAK
+        return b"".join(map(ids.__getitem__, flat)).split(BREAK)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; none for null."""
-        split = [WORDS.findall(text or "") for text in texts]
-        made = self._fill(self.words, set().union(*split), self._of_words)
-        kept = self.words
-        if not made:
-            return [b"".join([kept[w] for w in words]) for words in split]
-        return [b"".join([kept[w] if w in kept else made[w] for w in words]) for words in split]
+        split = [(text or "").encode().split() for text in texts]
+        find = self.words.have(set().union(*split), self._of_words).__getitem__
+        return [b"".join(map(find, words)) for words in split]
 
 
 def _encoder(path: str) -> Encoder:
