@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.base import query, round6, table
@@ -322,3 +322,29 @@ def latency_null_group(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("user_id") % 4 != 0, F.col("event_type")).alias("g"), "value")
     found = order.exact_percentiles(rows, "value", (0.5, 0.95), ("g",))
     return found.select("g", "n", F.round("p0", 6).alias("p50"), F.round("p1", 6).alias("p95"))
+
+
+@query("""
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, 0 AS off_50, 0 AS off_95
+FROM events GROUP BY event_type""")
+def latency_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """AG13: sketches stored by type and day and merged by type; how many error bounds their percentiles are off."""
+    from sparkcurate.operators import order, sketches
+    from sparkcurate.session import fresh_path
+
+    rows = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    path = fresh_path(spark, "sketches")
+    sketches.store_sketches(sketches.quantile_sketches(rows, "value", ("event_type", "day")), path, ("day",))
+    merged = sketches.merged_sketches(spark.read.parquet(path), ("event_type",))
+    found = sketches.sketched_percentiles(merged, (0.5, 0.95), ("event_type",))
+    error = 2 * sketches.rank_error()
+    ends = [f + s * error for f in (0.5, 0.95) for s in (-1, 1)]
+    exact = order.exact_percentiles(rows, "value", ends, ("event_type",)).select("event_type", *[
+        F.col(f"p{i}").alias(f"e{i}") for i in range(4)])
+
+    def off(p: str, low: str, high: str) -> Column:
+        return F.when((F.col(p) < F.col(low)) | (F.col(p) > F.col(high)), 1).otherwise(0)
+
+    return found.join(exact, "event_type").select(
+        "event_type", "n", F.round("mean", 6).alias("mean"), "low", "high", off("p0", "e0", "e1").alias("off_50"),
+        off("p1", "e2", "e3").alias("off_95"))
