@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,29 @@ def stream_first_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     jobs.to_table(first.select("user_id", "event_type"), path, fresh_path(spark, "arrivals-state")).awaitTermination()
     out = spark.read.schema("user_id LONG, event_type STRING").parquet(path)
     return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH RECURSIVE k AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL UNION ALL
+  SELECT e.user_id, e.event_type, min(e.ts) FROM k JOIN events e ON e.user_id = k.user_id AND e.event_type = k.event_type
+    AND e.ts > k.ts + INTERVAL 3 DAY GROUP BY ALL)
+SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS kept FROM k""")
+def stream_kept_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """ST2, ST3: arrivals three days apart, over five runs from one checkpoint, with replays in the next and late copies
+    three runs on."""
+    for name, setting in jobs.ROCKSDB.items():
+        spark.conf.set(name, setting)
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    run = F.floor((F.col("ts").cast("double") - F.lit(1704067200)) / (6 * 86400))
+    again = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).when(
+        F.col("event_id") % 10 == 1, F.array(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0)))
+    rows = events.withColumn("after", F.explode(again)).withColumn("run", run + F.col("after"))
+    source, path, state = (fresh_path(spark, f"arrivals-{part}") for part in ("in", "out", "state"))
+    schema = "event_id LONG, user_id LONG, event_type STRING, ts TIMESTAMP"
+    for number in range(5):
+        rows.where(F.col("run") == number).select("event_id", "user_id", "event_type", "ts").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        kept = jobs.kept_arrivals(stream, ("user_id", "event_type"), "ts", timedelta(days=3))
+        jobs.to_table(kept, path, state).awaitTermination()
+    out = spark.read.schema(schema).parquet(path)
+    return out.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("kept"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sparkcurate.operators.order import join_same
 from sparkcurate.operators.rules import RuleBook, judge_answers
@@ -92,3 +94,58 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def closed(ends: Column, newest: Column, delay: str) -> Column:
     """Whether a window's end lies behind the watermark."""
     return ends <= newest - F.expr(f"INTERVAL {delay}")
+
+
+class KeptArrivals(StatefulProcessor):
+    """Per id: an arrival is kept unless one was kept within ``delay`` before it; order is that of event time.
+
+    State is one timestamp per id, in RocksDB; a timer clears it when the watermark has passed its delay.
+    """
+
+    def __init__(self, ids: Sequence[str], ts: str, delay: timedelta) -> None:
+        self.ids, self.ts, self.delay = list(ids), ts, delay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "at timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = pd.Timestamp(self.kept.get()[0]) if self.kept.exists() else None
+        arrived = pd.concat(list(rows), ignore_index=True)
+        arrived = arrived.assign(**{self.ts: pd.to_datetime(arrived[self.ts])}).sort_values(
+            [self.ts, *[c for c in arrived.columns if c not in (*self.ids, self.ts)]], kind="stable")
+        keep = []
+        for at in arrived[self.ts]:
+            keep.append(last is None or at > last + self.delay)
+            last = at if keep[-1] else last
+        if any(keep):
+            self.kept.update((last.to_pydatetime(),))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((last + self.delay).tz_localize("UTC").timestamp() * 1000) + 1)
+        yield arrived[keep]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        yield from ()
+
+    def close(self) -> None:
+        """Nothing to release."""
+
+
+def kept_arrivals(stream: DataFrame, ids: Sequence[str], ts: str, delay: timedelta) -> DataFrame:
+    """First arrivals with a memory: after one is kept, further ones of its ids are dropped until ``delay`` has passed.
+
+    Unlike :func:`first_arrivals` the outcome does not depend on how the input falls into batches, as long as rows are not
+    later than ``delay``; later ones are dropped by the watermark. Rows of equal time are ordered by their
+    other columns. Ids and time must not be null. The session needs the RocksDB state store and UTC.
+    """
+    schema = stream.schema
+    seconds = f"{int(delay.total_seconds())} seconds"
+    return stream.withWatermark(ts, seconds).groupBy(*ids).transformWithStateInPandas(
+        KeptArrivals(ids, ts, delay), outputStructType=schema, outputMode="append", timeMode="eventTime")
+
+
+#: What a session needs for :func:`kept_arrivals`.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
