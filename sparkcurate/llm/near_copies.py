@@ -1,18 +1,25 @@
-"""Near copies by similarity: MinHash bands give candidates, exact Jaccard decides, links make groups.
-
-Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of at least
-``LEAST``. A fingerprint cannot tell that: at 0.8 two SimHashes differ in about ten bits and often in
-sixteen, and Golay keys for so wide a radius meet in a few hundredths of all pairs. Here a text has
-``BANDS`` keys of ``ROWS`` minima each; a pair at exactly 0.8 has no key in common once in 38,000, at 0.85
-once in 2.6 million. Every candidate is compared by its whole shingle sets, none by an estimate.
-
-Scale: equal texts are one node. Texts of a bucket are first compared with one of them, in linear time,
-twice; only pairs that are then still in different groups are compared one by one. So a large group
-of near copies costs its size, and no pair is lost: pairs within a group need no comparison.
+"""Near copies by similarity: binary fingerprints, Golay keys of their segments, exact Jaccard, linked groups.
+
+Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of at least ``LEAST``.
+A fingerprint has ``LANES`` times 64 bits. Bits of a SimHash differ with a chance of 0.15 at 0.8, and Golay keys then
+find 0.86 of the pairs between 0.8 and 0.85 only. So a bit here is one of the least shingle of its bin, which
+differs with a chance of (1 - similarity) / 2, 0.1 at 0.8. 460 of the bits form ``SEGMENTS`` words of the
+binary Golay code of length 23. A word has one nearest codeword and up to six within four bits; words meet if one
+brings its nearest codeword and the other all six. Two neighbouring segments together make a key, the codeword indices
+of both: a text has ten keys on one side and 360 at most on the other, and two texts are candidates if any
+key meets in either direction. That finds 0.996 of pairs at exactly 0.8; unlike texts meet four times in 100,000
+pairs, and the last 64 bits, compared inside the join, drop nearly all of those. All other
+candidates are compared by their whole shingle sets, none by an estimate.
+
+Scale: equal texts are one node. Large groups of near copies are found first, by comparing each node with one leader of
+its bucket, in rounds that cost the nodes in open buckets; the full search then drops pairs of one group inside the
+join, since pairs within a group need no comparison.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -20,15 +27,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcurate.llm.common import own, small_batches, stored
-from sparkcurate.llm.simhash import components, least_rows
-
-#: Words per shingle, similarity of near copies, keys of a text, and minima per key.
-SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 20, 4
-#: Shingles whose minima are taken at a time.
-STEP = 1 << 12
-
-_DRAWN = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
-TIMES, PLUS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+from sparkcurate.llm.simhash import GOLAY_POLYNOMIAL, components, least_rows
+from sparkcurate.session import broadcast_below
+
+#: Words per shingle, similarity of near copies.
+SHINGLE, LEAST = 5, 0.8
+#: Words of 64 bits in a fingerprint, segments of 23 bits, and bits in which near copies may differ in the last word:
+#: at a similarity of 0.8 one pair in 3,000 differs in more.
+LANES, SEGMENTS, RADIUS = 8, 20, 15
+#: Pairs of one text that are compared in one place.
+PAIRS = 500
+#: Pairs of segments whose keys the rounds with leaders use; see ``near_copies``.
+LEADER_ROUNDS = ((0,), (1, 2), tuple(range(3, SEGMENTS // 2)))
+
+BINS = 64 * LANES
+_DRAWN = np.random.Generator(np.random.PCG64(42))
+#: For each bin the order in which it asks others if it is empty, and what makes its bit its own.
+PROBES = np.argsort(_DRAWN.random((BINS, BINS)), axis=1)
+MARKS = _DRAWN.integers(0, 1 << 64, BINS, dtype=np.uint64)
+
+
+def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Syndromes of the low 12 and the high 11 bits of a word; by syndrome what to flip to reach each codeword
+    within four bits, the nearest first, and how many there are."""
+    single = []
+    for i in range(23):
+        word = 1 << i
+        for bit in range(22, 10, -1):
+            if word >> bit & 1:
+                word ^= GOLAY_POLYNOMIAL << (bit - 11)
+        single.append(word)
+    near: list[list[int]] = [[] for _ in range(2048)]
+    for weight in range(5):
+        for bits in combinations(range(23), weight):
+            flip = syndrome = 0
+            for i in bits:
+                flip, syndrome = flip | 1 << i, syndrome ^ single[i]
+            if weight < 4 or near[syndrome][0].bit_count() == 3:
+                near[syndrome].append(flip)
+    halves = [np.zeros(1 << width, dtype=np.int64) for width in (12, 11)]
+    for half, start in zip(halves, (0, 12), strict=True):
+        for i in range(half.size.bit_length() - 1):
+            half ^= np.where(np.arange(half.size) >> i & 1, single[start + i], 0)
+    flips = np.array([some + some[:1] * (6 - len(some)) for some in near], dtype=np.int64)
+    return *halves, flips, np.array([len(some) for some in near])
+
+
+LOW, HIGH, FLIPS, CODEWORDS = _golay()
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -41,13 +86,44 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams)), dtype=np.uint64))
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """The keys of a set of shingles."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def fingerprints(found: np.ndarray) -> list[int]:
+    """``LANES`` signed 64-bit words of a set of shingles in ascending order; zeros for none.
+
+    The leading bits of a hash name its bin. An empty bin borrows from the first one of its order that is
+    not. A bit mixes the bin's least hash with the bin's mark, so that borrowed hashes give bits of their own.
+    """
+    if not len(found):
+        return [0] * LANES
+    least = np.searchsorted(found, np.arange(BINS, dtype=np.uint64) << np.uint64(65 - BINS.bit_length()))
+    empty = least == np.append(least[1:], len(found))
+    place, start = np.arange(BINS), 0
+    open_ = np.flatnonzero(empty)
+    while len(open_):
+        asked = PROBES[open_, start : start + 16]
+        full = ~empty[asked]
+        some = full.any(axis=1)
+        place[open_[some]] = asked[some, full[some].argmax(axis=1)]
+        open_, start = open_[~some], start + 16
     with np.errstate(over="ignore"):
-        for start in range(0, len(found), STEP):
-            np.minimum(least, (found[start : start + STEP] * TIMES + PLUS).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+        mixed = (found[least[place]] ^ MARKS) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.packbits((mixed >> np.uint64(63)).astype(bool), bitorder="little").view("<i8").tolist()
+
+
+def golay_keys(prints: np.ndarray, wide: bool, pairs: tuple[int, ...]) -> list[np.ndarray]:
+    """Keys of fingerprints (a row of ``LANES`` each): of each pair of segments, the indices of the nearest codewords, or
+    of all choices of codewords within four bits if ``wide``."""
+    bits = np.unpackbits(prints.astype("<i8").view(np.uint8), axis=1, bitorder="little")
+    words = bits[:, : 23 * SEGMENTS].reshape(-1, SEGMENTS, 23) @ (1 << np.arange(23))
+    syndromes = LOW[words & 4095] ^ HIGH[words >> 12]
+    indexes = (words[:, :, None] ^ FLIPS[syndromes][:, :, : 6 if wide else 1]) >> 11
+    used = np.arange(indexes.shape[2]) < CODEWORDS[syndromes][:, :, None]
+    keys, valid = [], []
+    for t in pairs:
+        one, two = 2 * t, 2 * t + 1
+        keys.append((t << 24 | indexes[:, one, :, None] << 12 | indexes[:, two, None, :]).reshape(len(words), -1))
+        valid.append((used[:, one, :, None] & used[:, two, None, :]).reshape(len(words), -1))
+    keys, valid = np.concatenate(keys, axis=1), np.concatenate(valid, axis=1)
+    return np.split(keys[valid], np.cumsum(valid.sum(axis=1))[:-1])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -57,18 +133,28 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / either if either else 1.0
 
 
-def with_keys(docs: DataFrame, text: Column, row: str, node: str, size: str, keys: str) -> DataFrame:
-    """``docs``, stored, with number of the row, hash of the text, number of its shingles, and its keys."""
-    @F.pandas_udf("size int, keys array<bigint>")
+def with_prints(docs: DataFrame, text: Column, row: str, node: str, size: str, prints: str) -> DataFrame:
+    """``docs``, stored, with number of the row, hash of the text, number of its shingles, and its fingerprints."""
+    @F.pandas_udf("size int, prints array<bigint>")
     def described(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t) for t in texts]
-        return pd.DataFrame({"size": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]})
+        return pd.DataFrame({"size": [len(s) for s in sets], "prints": [fingerprints(s) for s in sets]})
 
-    made = small_batches(docs).withColumn(keys, described(text))
-    return stored(made.withColumn(size, F.col(keys)["size"]).withColumn(keys, F.col(keys)["keys"]).withColumn(
+    made = small_batches(docs).withColumn(prints, described(text))
+    return stored(made.withColumn(size, F.col(prints)["size"]).withColumn(prints, F.col(prints)["prints"]).withColumn(
         node, F.xxhash64(F.coalesce(text, F.lit("")))).withColumn(row, F.monotonically_increasing_id()))
 
 
+def entries(nodes: DataFrame, wide: bool, pairs: tuple[int, ...]) -> DataFrame:
+    """(key, node, size, root, lane): a row for each key of each node."""
+    @F.pandas_udf("array<bigint>")
+    def keys(prints: pd.Series) -> pd.Series:
+        return pd.Series(golay_keys(np.stack(prints.to_list()), wide, pairs) if len(prints) else [], dtype=object)
+
+    return nodes.select("node", "size", "root", F.element_at("prints", LANES).alias("lane"),
+                        F.explode(keys("prints")).alias("key"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts (node, text) are similar enough."""
     @F.pandas_udf("boolean")
@@ -80,47 +166,57 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out.append(similarity(held, shingles(b)) >= LEAST)
         return pd.Series(out, dtype="bool")
 
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    # A text compared with very many others is copied, so that no task gets all of its pairs.
+    often = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / PAIRS).alias("copies")).where("copies > 0")
+    often = broadcast_below(stored(often))
+    parts = F.coalesce("copies", F.lit(0)).cast("int")
+    dealt = pairs.join(often, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts + 1).cast("int").alias("part"))
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("x")).join(often, "a", "left").select(
+        "a", "x", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    met = pairs.join(two, "b").join(one, "a")
+    met = dealt.join(two, "b").join(one, ["a", "part"])
     return stored(met.where(similar("x", "y")).select("a", "b"))
 
 
 def near_copies(rows: DataFrame) -> DataFrame:
-    """Groups of ``rows`` (row, node, text, size, keys): node and root, for nodes with any near copy."""
-    nodes = rows.groupBy("node").agg(F.min("row").alias("row"))
-    entries = rows.select("row", "node", "size", "keys").join(nodes.select("row"), "row", "left_semi").select(
-        "node", "size", F.explode("keys").alias("key"))
-    shared = stored(entries.join(
-        entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi"))
-    chosen = nodes.join(shared.select("node").distinct(), "node").select("row")
-    texts = stored(rows.select("row", "node", "text").join(chosen, "row", "left_semi").select("node", "text"))
+    """Groups of ``rows`` (row, node, text, size, prints): node and root, for nodes with any near copy."""
+    first = rows.groupBy("node").agg(F.min("row").alias("row"))
+    nodes = stored(rows.join(first.select("row"), "row", "left_semi").select("row", "node", "size", "prints"))
+    texts = rows.select("row", "node", "text")
+    edges, grouped = None, nodes.withColumn("root", F.col("node"))
 
     def close(a: str, b: str) -> Column:
-        return F.least(a, b) >= LEAST * F.greatest(a, b)
-
-    edges, roots, open_ = None, None, shared.withColumn("root", F.col("node"))
-    for turn in range(3):
-        if turn < 2:
-            # Other texts lead in the second turn: one that is unlike the rest must not decide alone.
-            order = F.xxhash64("node", F.lit(turn))
-            heads = open_.groupBy("key").agg(F.min(F.struct(order, "node", "size", "root")).alias("h"))
-            pairs = open_.join(heads.select("key", F.col("h.node").alias("a"), F.col("h.size").alias("n"),
-                                            F.col("h.root").alias("r")), "key")
-        else:
-            pairs = open_.join(open_.select("key", F.col("node").alias("a"), F.col("size").alias("n"),
-                                            F.col("root").alias("r")), "key").where("a < node")
-        pairs = pairs.where((F.col("r") != F.col("root")) & close("n", "size")).select(
-            "a", F.col("node").alias("b")).distinct()
-        found = verified(pairs, texts)
+        return F.least(f"{a}.size", f"{b}.size") >= LEAST * F.greatest(f"{a}.size", f"{b}.size")
+
+    def alike(a: str, b: str) -> Column:
+        near = F.bit_count(F.col(f"{a}.lane").bitwiseXOR(F.col(f"{b}.lane"))) <= RADIUS
+        return (F.col(f"{a}.root") != F.col(f"{b}.root")) & near & close(a, b)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """``nodes`` with their roots, now that ``pairs`` (a, b) were compared too."""
+        nonlocal edges
+        pairs = stored(pairs.distinct())
+        chosen = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = nodes.select("row", "node").join(chosen, "node", "left_semi").select("row")
+        found = verified(pairs, texts.join(wanted, "row", "left_semi"))
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges)
-        if turn < 2:
-            named = shared.join(roots.select("node", F.col("root").alias("known")), "node", "left").select(
-                "key", "node", "size", F.coalesce("known", "node").alias("root"))
-            apart = named.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("x")).where("m < x")
-            open_ = stored(named.join(apart.select("key"), "key", "left_semi"))
-    return roots
+        return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    for number, pairs in enumerate(LEADER_ROUNDS):
+        # Other texts lead in each round: one that is unlike the rest must not decide alone.
+        mine = stored(entries(grouped, False, pairs))
+        order = F.xxhash64("node", F.lit(number))
+        heads = mine.groupBy("key").agg(F.min(F.struct(order, "node", "size", "root", "lane")).alias("h"),
+                                        F.min("root").alias("low"), F.max("root").alias("high"))
+        heads = heads.where("low < high").select("key", "h.*")
+        grouped = linked(mine.alias("m").join(heads.alias("h"), "key").where(alike("m", "h")).select(
+            F.col("h.node").alias("a"), F.col("m.node").alias("b")))
+    grouped = stored(grouped)
+    every = tuple(range(SEGMENTS // 2))
+    met = entries(grouped, False, every).alias("n").join(entries(grouped, True, every).alias("w"), "key").where(alike("n", "w"))
+    pairs = met.select(F.least("n.node", "w.node").alias("a"), F.greatest("n.node", "w.node").alias("b"))
+    return linked(pairs).where("root <> node").select("node", "root")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
@@ -129,8 +225,8 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     Columns as given. Texts without words are copies of each other. Of rows with that id the one with
     the smallest text hash stays, and of repeated ones the first.
     """
-    row, node, size, keys = (own(name) for name in ("row", "node", "size", "keys"))
-    marked = with_keys(docs, F.col("text"), row, node, size, keys)
+    row, node, size, prints = (own(name) for name in ("row", "node", "size", "prints"))
+    marked = with_prints(docs, F.col("text"), row, node, size, prints)
     roots = near_copies(marked.select(F.col(row).alias("row"), F.col(node).alias("node"), "text",
-                                      F.col(size).alias("size"), F.col(keys).alias("keys")))
+                                      F.col(size).alias("size"), F.col(prints).alias("prints")))
     return least_rows(marked, roots, row, node).select(*docs.columns)

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from sparkcurate.llm import near_copies
 
 
@@ -82,7 +84,8 @@ def test_groups_equal_brute_force(spark):
 
 def test_leaders_unlike_the_rest_lose_no_pair(spark, monkeypatch):
     """With one key for all, every pair is a candidate; pairs of any leader's leftovers are still compared."""
-    monkeypatch.setattr(near_copies, "band_keys", lambda found: [7])
+    monkeypatch.setattr(near_copies, "golay_keys", lambda prints, wide, pairs: [np.array([7])] * len(prints))
+    monkeypatch.setattr(near_copies, "RADIUS", 64)
     texts = copies(8)[:90]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert near_copies.one_per_group(docs).count() == len(set(brute_groups(texts)))
@@ -93,3 +96,64 @@ def test_near_copies_at_the_edges(edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 5, None, 8, 9])
     assert near_copies.one_per_group(no_docs).count() == 0
+
+
+def met(a, b):
+    """Whether two texts are candidates, and their similarity."""
+    one, two = near_copies.shingles(a), near_copies.shingles(b)
+    prints = np.array([near_copies.fingerprints(one), near_copies.fingerprints(two)])
+    every = tuple(range(near_copies.SEGMENTS // 2))
+    narrow, wide = (near_copies.golay_keys(prints, w, every) for w in (False, True))
+    far = int(np.bitwise_count((prints[0, -1:] ^ prints[1, -1:]).view(np.uint64))[0])
+    shared = np.isin(narrow[0], wide[1]).any() or np.isin(narrow[1], wide[0]).any()
+    return shared and far <= near_copies.RADIUS, near_copies.similarity(one, two)
+
+
+def test_recall_of_pairs_at_every_similarity():
+    rng, found = random.Random(1), {}
+    for _ in range(2500):
+        n = rng.choice([12, 30, 60, 120, 300, 800])
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        other, kind = list(words), rng.random()
+        if kind < 0.6:
+            for _ in range(rng.randrange(1, max(2, n // 40) + 1)):
+                other[rng.randrange(n)] = f"x{rng.randrange(3000)}"
+        elif kind < 0.8:
+            other = other[: int(n * rng.uniform(0.8, 1))]
+        else:
+            other += [f"y{rng.randrange(999)}" for _ in range(int(n * rng.uniform(0, 0.25)))]
+        hit, alike = met(" ".join(words), " ".join(other))
+        if 0.8 <= alike < 1:
+            found.setdefault(int(alike * 20) / 20, []).append(hit)
+    assert len(found) == 4 and min(map(len, found.values())) > 100
+    assert all(sum(hits) / len(hits) >= 0.97 for hits in found.values()), {k: sum(h) / len(h) for k, h in found.items()}
+
+
+def test_unlike_texts_seldom_meet():
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(5, 200))) for _ in range(300)]
+    assert sum(met(a, b)[0] for a, b in zip(texts, texts[1:])) == 0
+
+
+def test_words_one_bit_apart_share_a_codeword():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(-(1 << 63), (1 << 63) - 1, (200, near_copies.LANES), dtype=np.int64)
+    changed = prints.copy()
+    for row in changed:  # one bit in each of two segments of one key
+        for place in rng.integers(0, 23, 2) + np.array([0, 23]):
+            row[place // 64] ^= np.int64(1 << int(place % 64))
+    narrow, wide = near_copies.golay_keys(prints, False, (0,)), near_copies.golay_keys(changed, True, (0,))
+    assert all(len(n) == 1 and n[0] in w for n, w in zip(narrow, wide))
+    assert max(map(len, wide)) == 36
+
+
+def test_families_that_share_a_passage_stay_apart(spark):
+    """Texts alike at 0.5 to 0.79 keep all but the near copies among them, whatever the number of candidates."""
+    rng = random.Random(6)
+    passage, texts = [f"p{i}" for i in range(120)], []
+    for k in range(120):
+        own = [f"o{k}_{i}" for i in range(rng.choice([12, 16, 30, 60]))]
+        texts.append(" ".join(own + passage))
+    texts += [t + " end" for t in texts[::10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert near_copies.one_per_group(docs).count() == len(set(brute_groups(texts)))
