@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from checks.base import KPI_SQL, LABELS, SAMPLES, UNSURE, query, round6, samples, table
+from checks.base import KPI_SQL, LABELS, SAMPLES, UNSURE, ece_cte, query, round6, samples, table
 from checks.generation import SEED, runbooks
 from checks.records import CHECKED, MODES, STRATA, records
 from checks.reports import WEIGHTS, scores
 from sparkcurate.operators import generate as G
 from sparkcurate.operators import kpi, order, rubric, split
 from sparkcurate.operators import reports as rep
+from sparkcurate.operators.rules import RuleBook
 from sparkcurate.plans import build
 from sparkcurate.plans.example_domain import BOOK, KIT
 from sparkcurate.session import fresh_path
@@ -239,6 +240,22 @@ def run_table(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query(f"""
+WITH {SAMPLES}, {ece_cte("run, slice")}, k AS (SELECT run, slice, {KPI_SQL} FROM samples GROUP BY run, slice)
+SELECT k.*, coalesce(ece, 0) AS ece, 0 AS again FROM k LEFT JOIN ece USING (run, slice)""")
+def incremental_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """SI8, SI10, AG4, AG7: facts stored in batches, one of them twice and one replaced; reports from their partials."""
+    from sparkcurate.plans import evaluate
+
+    facts, root = samples(spark, sf), fresh_path(spark, "batches")
+    book = RuleBook(LABELS, UNSURE, {}, {})
+    part = F.pmod(F.col("id"), F.lit(3))
+    evaluate.add_batch(facts.where(part < 2), book, root, "b1")  # too much, replaced below
+    stored = [evaluate.add_batch(facts.where(part == k), book, root, f"b{k}") for k in (0, 1, 2, 1)]
+    again = F.lit(sum(stored) - 3)
+    return round6(evaluate.stored_reports(spark, root, ("run", "slice"))).withColumn("again", again)
+
+
 MIX_SQL = ", ".join(f"('{g}', {n})" for g, n in G.DEFAULT_MIX.items())
 
 

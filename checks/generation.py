@@ -102,6 +102,25 @@ def numbered_accepted(spark: SparkSession, sf: str) -> DataFrame:
                            G.record_id("sft-cr", F.col("no") - 1).alias("id"))
 
 
+@query(f"""
+WITH w AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang) - 1 AS p, count(*) OVER () AS g FROM documents GROUP BY lang),
+a AS (SELECT lang, n, idx, idx * g + p AS i FROM w, LATERAL (SELECT unnest(range(n * 5 + 300)) AS idx)),
+k AS (SELECT lang, n, i AS attempt, row_number() OVER (PARTITION BY lang ORDER BY idx) - 1 AS seq FROM a WHERE {_u("spoil")} >= 0.6)
+SELECT lang, attempt, seq FROM k WHERE seq < n""")
+def filled_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    """GE3, GE5: as many accepted cases per language as it has documents, from attempts of which six in ten are spoilt."""
+    counts = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    wanted = {r["lang"]: r["n"] for r in counts.orderBy("lang").collect()}
+    key = F.col("attempt")
+
+    def judged(rows: DataFrame) -> DataFrame:
+        cases = G.build_cases(rows.withColumn("label", G.cycled_label(LABELS, F.col("index"))), KIT, SEED)
+        spoilt = F.when(D.uniform(SEED, key, "spoil") < 0.6, F.lit("no package")).otherwise(F.col("answer"))
+        return judge_answers(cases.select("attempt", "lang", "complaint", spoilt.alias("answer")), BOOK)
+
+    return G.fill_quotas(spark, wanted, judged, "lang").select("lang", "attempt", "seq")
+
+
 BROKEN = {"cue_dropped": 1, "fabricated_telemetry": 1, "overconfident": 1, "missing_fields": 0,
           "forced_guess": 1, "overpromise": 1, "single_path": 1}
 

@@ -2,17 +2,18 @@
 
 A :class:`CaseKit` holds the domain texts (bounded parameters, used as literals). One input row gives
 one attempt; every choice is a digest draw on the row's key, so output does not depend on the
-partitioning. Rejection sampling means: attempt more rows than needed, judge them all, keep the
+partitioning. Rejection sampling means: attempt in rounds what is still missing, judge all attempts, keep the
 first n accepted ones of each group by number.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcurate.functions import draw as D
@@ -344,6 +345,55 @@ def first_accepted(judged: DataFrame, wanted: int | Mapping[str, int], key: str
     return numbered.where(F.col("_no") <= limit).withColumn("seq", F.col("_no") - 1).drop("_no")
 
 
+def fill_quotas(spark: SparkSession, wanted: Mapping[str, int], judge: Callable[[DataFrame], DataFrame],
+                group: str = "group", most: int = 200) -> DataFrame:
+    """The first accepted attempts of every group, as many as wanted, numbered from 0 (``seq``).
+
+    ``judge`` turns attempts (``attempt``, ``index``, ``group``) into rows with these columns and a verdict; it must decide
+    by them alone. Attempts are tried in rounds: what a group still lacks, divided by the share accepted so far.
+    A group that has enough stops. Attempts are numbered within their group and tried without
+    gaps, so the rows chosen depend neither on the rounds nor on the partitioning. A group that accepts fewer than one in
+    ``most`` is an error. The driver holds two numbers per group.
+    """
+    names = list(wanted)
+    tried, have = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+    kept: list[DataFrame] = []
+    while True:
+        sizes = {}
+        for name, n in wanted.items():
+            if have[name] >= n:
+                continue
+            if tried[name] > most * n + 1000:
+                raise ValueError(f"{name}: {have[name]} of {tried[name]} attempts accepted, {n} wanted")
+            share = max(have[name], 0.5) / tried[name] if tried[name] else 1.0
+            sizes[name] = math.ceil(1.1 * (n - have[name]) / share) + 8
+        if kept and not sizes:
+            break
+        blocks = [(name, tried[name], size) for name, size in sizes.items()]
+        key, total, place, index = F.col("id"), 0, F.lit(0), F.lit(0).cast("long")
+        for name, start, size in blocks:
+            place = F.when(key >= total, F.lit(names.index(name))).otherwise(place)
+            index = F.when(key >= total, key - total + start).otherwise(index)
+            total += size
+        rows = spark.range(total).select((index * len(names) + place).alias("attempt"), index.alias("index"),
+                                         F.get(X.strings(names), place).alias(group))
+        accepted = cut_lineage(judge(rows).where("verdict.ok"))
+        kept.append(accepted)
+        for name, _, size in blocks:
+            tried[name] += size
+        for row in accepted.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect():
+            have[row[group]] += row["n"]
+        if not blocks:
+            break
+    found = kept[0]
+    for more in kept[1:]:
+        found = found.unionByName(more)
+    limits = F.create_map(*[F.lit(x) for item in wanted.items() for x in item]) if wanted else F.create_map()
+    numbered = number_rows(found, "attempt", "_no", by=(group,))
+    return numbered.where(F.col("_no") <= F.try_element_at(limits, F.col(group))).withColumn(
+        "seq", F.col("_no") - 1).drop("_no")
+
+
 def record_id(prefix: str | Column, seq: Column) -> Column:
     """``prefix-00042``: at least five digits, longer numbers are kept whole."""
     digits = seq.cast("string")

@@ -77,6 +77,61 @@ def kpi_report(samples: DataFrame, labels: Sequence[str], abstain: str,
     return samples.groupBy(*by).agg(*kpi_columns(labels, abstain))
 
 
+def _rates(labels: Sequence[str], abstain: str) -> dict[str, tuple[Column, Column]]:
+    """Value and subset of every mean of the report."""
+    every = F.lit(True)
+    clear, predicted, unsure = F.col("gold_rc").isin(*labels), F.col("pred_rc").isin(*labels), F.col("gold_rc") == abstain
+    grounded = F.col("cue_grounded_frac")
+
+    def flag(condition: Column) -> Column:
+        return F.coalesce(condition, F.lit(False)).cast("double")
+
+    return {
+        "rc_accuracy": (flag(F.col("correct")), every), "rc_accuracy_clear": (flag(F.col("correct")), clear),
+        "cue_faithfulness": (grounded, grounded.isNotNull()),
+        "no_fabrication_rate": (flag(F.col("no_fabricated_telemetry")), every),
+        "runbook_completeness": (flag(F.col("runbook_complete")), predicted),
+        "runbook_fidelity": (flag(F.col("runbook_fidelity")), predicted),
+        "artifact_valid_at_1": (flag(F.col("artifacts_valid")), every),
+        "self_service_present_rate": (flag(F.col("self_service_ok")), every),
+        "abstention_hallucination": (flag(F.col("pred_rc") != abstain), unsure),
+        "overconfident_wrong_rate": (flag((F.col("confidence") > 0.85) & ~F.col("correct")), every),
+        "parse_fail_rate": (flag(F.col("pred_rc") == PARSE_FAIL), every),
+    }
+
+
+def kpi_partials(samples: DataFrame, labels: Sequence[str], abstain: str, by: Sequence[str],
+                 bins: int = 10) -> DataFrame:
+    """(by, n, sums, counts, gaps, confident): what the report's means are made of; partials of
+    disjoint rows add up."""
+    rates = _rates(labels, abstain)
+    conf = F.col("confidence")
+    slot = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(conf * bins)))
+    gap = conf - F.col("correct").cast("double")
+    return samples.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.coalesce(F.sum(F.when(subset, value)), F.lit(0.0)) for value, subset in rates.values()]).alias("sums"),
+        F.array(*[F.count_if(subset) for _, subset in rates.values()]).alias("counts"),
+        F.array(*[F.coalesce(F.sum(F.when(slot == i, gap)), F.lit(0.0)) for i in range(bins)]).alias("gaps"),
+        F.count(conf).alias("confident"))
+
+
+def report_of_partials(partials: DataFrame, by: Sequence[str], bins: int = 10) -> DataFrame:
+    """The report of :func:`kpi_report` from partials."""
+    names = list(_rates((), ""))
+    added = partials.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum("confident").alias("confident"),
+        *[F.sum(F.get("sums", F.lit(i))).alias(f"_s{i}") for i in range(len(names))],
+        *[F.sum(F.get("counts", F.lit(i))).alias(f"_c{i}") for i in range(len(names))],
+        *[F.abs(F.sum(F.get("gaps", F.lit(i)))).alias(f"_g{i}") for i in range(bins)])
+    means = {name: F.coalesce(F.try_divide(F.col(f"_s{i}"), F.col(f"_c{i}")), F.lit(0.0)) for i, name in enumerate(names)}
+    total = F.lit(0.0)
+    for i in range(bins):
+        total = total + F.col(f"_g{i}")
+    means["ece"] = F.coalesce(F.try_divide(total, F.col("confident")), F.lit(0.0))
+    return added.select(*by, "n", *[means[name].alias(name) for name in METRICS])
+
+
 def long_metrics(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(…, metric, value) rows of a report."""
     return report.unpivot(list(by), list(METRICS), "metric", "value")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,14 +14,6 @@ from sparkcurate.operators.preference import FAULTS, corrupt, preference_records
 from sparkcurate.operators.rules import judge_answers, require_accepted
 from sparkcurate.operators.split import scaled_mix
 
-#: Attempts per wanted row. Cases pass by construction, so a small surplus is enough.
-SURPLUS = 1.25
-
-
-def _attempts(n: int) -> int:
-    return math.ceil(n * SURPLUS) + 8
-
-
 def parity_kind(key: Column) -> Column:
     """Off-catalogue and vague tickets in turn."""
     return F.when(F.pmod(key, F.lit(2)) == 0, F.lit("out_of_catalog")).otherwise(F.lit("vague"))
@@ -81,26 +72,18 @@ TEMPLATE_GROUPS = {
 
 def template_records(spark: SparkSession, kit: G.CaseKit, seed: int,
                      wanted: Mapping[str, int]) -> DataFrame:
-    """Template cases of all groups, drawn and judged in one pass.
-
-    The groups share one attempt range: group g owns a block of it that is larger than wanted.
-    """
+    """Template cases of all groups, drawn and judged in the same rounds."""
     wanted = {g: n for g, n in wanted.items() if n > 0}
-    key, total = F.col("attempt"), 0
-    group = inside = None
-    for name, n in wanted.items():
-        start, total = total, total + _attempts(n)
-        test = key < total
-        group = F.when(test, name) if group is None else group.when(test, name)
-        inside = F.when(test, key - start) if inside is None else inside.when(test, key - start)
-    rows = spark.range(total).withColumnRenamed("id", "attempt").withColumns(
-        {"group": group, "_i": inside})
-    rows = rows.withColumn("label", F.when(F.col("group") == "abstention", kit.book.abstain)
-                           .otherwise(G.cycled_label(kit.book.labels, F.col("_i"))))
-    cues = F.when(F.col("group") == "differential", F.lit(2)).otherwise(
-        D.pick_index(seed, key, "k", 2) + 2)
-    cases = G.build_cases(rows.drop("_i"), kit, seed, n_cues=cues, kind=parity_kind(key))
-    accepted = G.first_accepted(judge_answers(cases, kit.book), wanted, group="group")
+    key = F.col("attempt")
+
+    def judged(rows: DataFrame) -> DataFrame:
+        labelled = rows.withColumn("label", F.when(F.col("group") == "abstention", kit.book.abstain)
+                                   .otherwise(G.cycled_label(kit.book.labels, F.col("index"))))
+        cues = F.when(F.col("group") == "differential", F.lit(2)).otherwise(
+            D.pick_index(seed, key, "k", 2) + 2)
+        return judge_answers(G.build_cases(labelled, kit, seed, n_cues=cues, kind=parity_kind(key)), kit.book)
+
+    accepted = G.fill_quotas(spark, wanted, judged)
     prefix = kit.text(F.col("group"), {g: p for g, (p, _) in TEMPLATE_GROUPS.items()})
     fixed = kit.text(F.col("group"), {g: m for g, (_, m) in TEMPLATE_GROUPS.items() if m})
     mode = F.coalesce(fixed, kit.text(F.col("label"), kit.slices))
@@ -128,18 +111,14 @@ def preference_dataset(spark: SparkSession, kit: G.CaseKit, seed: int,
                        per_type: int = 100) -> DataFrame:
     """``per_type`` pairs of every fault."""
     labels, abstain = kit.book.labels, kit.book.abstain
-    key = F.col("attempt")
-    tried = spark.range(_attempts(per_type * len(FAULTS))).withColumnRenamed(
-        "id", "attempt").withColumns({
-        "bad_type": G.cycled_label(FAULTS, key),
-        "label": G.cycled_label(labels, F.floor(key / len(FAULTS))),
-    }).withColumn("label", F.when(F.col("bad_type") == "forced_guess", abstain)
-                  .when(F.col("bad_type") == "cue_dropped", labels[0])
-                  .when(F.col("bad_type") == "overpromise", labels[-1])
-                  .otherwise(F.col("label")))
-    judged = judge_answers(G.build_cases(tried, kit, seed), kit.book)
-    wanted = {fault: per_type for fault in FAULTS}
-    accepted = G.first_accepted(judged, wanted, group="bad_type").drop("seq")
+
+    def judged(rows: DataFrame) -> DataFrame:
+        fault = F.col("bad_type")
+        label = (F.when(fault == "forced_guess", abstain).when(fault == "cue_dropped", labels[0])
+                 .when(fault == "overpromise", labels[-1]).otherwise(G.cycled_label(labels, F.col("index"))))
+        return judge_answers(G.build_cases(rows.withColumn("label", label), kit, seed), kit.book)
+
+    accepted = G.fill_quotas(spark, dict.fromkeys(FAULTS, per_type), judged, "bad_type").drop("seq")
     numbered = number_rows(accepted, "attempt", "_no").withColumn("seq", F.col("_no") - 1)
     return preference_records(corrupt(numbered, kit, seed), kit)
 
