@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from sparkcurate.operators import generate as G
 from sparkcurate.operators import lookup, order
 from sparkcurate.operators import preference as P
 from sparkcurate.operators.rules import judge_answers
+from sparkcurate.plans import build
 from sparkcurate.plans.example_domain import ABSTAIN, BOOK, KIT
+from sparkcurate.session import cut_lineage
 
 SEED = 42
 
@@ -225,7 +229,131 @@ def runbook_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("low").alias("level"), F.lit("calm").alias("why")).alias("churn_risk"),
         F.struct(F.lit("credit").alias("offer"), (F.col("i") % 2 == 0).alias("when_proactive"),
                  F.lit("asked").alias("escalate_if"), F.lit("once").alias("note")).alias("compensation_policy"))
-    return lookup.runbook_document(rows)
+    return lookup.runbook_document(rows, "\n".join((
+        "# {runbook_id} {title}", "{owner_team}, {severity}, {priority}", "## Use for", "{detection_cues_prose}",
+        "## Look at first", "{confirm_checks}", "## Do", "{fix_steps}", "## Takes", "{eta_ttr}", "## Then ask", "{escalation}",
+        "## May leave", "{churn_risk_level}, {churn_risk_why}", "## May get",
+        "{compensation_policy_offer}, {offered}, {compensation_policy_escalate_if}, {compensation_policy_note}")))
+
+
+#: An invented domain's ways to ask and answer; the answer's slots are runbook fields.
+FACTS = {
+    "goodwill": ("What may a customer get when {title} strikes?", "They may get {compensation_policy_offer}, {offered}; beyond that: {compensation_policy_escalate_if}."),
+    "leaving": ("Do customers leave over {title}?", "Risk {churn_risk_level}, as {churn_risk_why}."),
+    "time": ("When is {title} solved?", "After {eta_ttr}."),
+    "owner": ("Whom does {runbook_id} belong to?", "{owner_team}, with {support_contact}, then {escalation}."),
+    "severity": ("How grave is {title}?", "{severity_note}, {priority}."),
+    "steps": ("What is done about {title}?", "{fix_steps}"),
+    "plain": ("Say simply where {title} comes from.", "{why_plain}"),
+    "technical": ("Say precisely where {title} comes from.", "{why_technical}"),
+    "cues": ("How does one recognise {title}?", "By this: {detection_cues_prose}"),
+    "checks": ("What comes before acting on {title}?", "First: {confirm_checks_prose}"),
+    "page": ("Where is {title} written up?", "In {runbook_id}, {title}."),
+    "talk": ("How do we speak to customers about {title}?", "{customer_communication}"),
+    "before": ("Has {title} happened before?", "Yes, {incident_id}: {incident_complaint} ({incident_cue}, {incident_ttr} min)."),
+    "median": ("How long did past cases of {title} last?", "{median_ttr} min at the median of {incidents}."),
+    "cause": ("What is {runbook_id} about?", "{label}: {one_line}"),
+    "open": ("Which page do I open for {label}?", "{runbook_id} ({title})."),
+}
+
+PAGE = """{title} ({runbook_id})
+{owner_team} / {severity_note} / {priority} / seen {last_reviewed}
+In short: {summary}
+Seen by: {detection_cues_prose}
+Check:
+{confirm_checks}
+Do:
+{fix_steps}
+Takes {eta_ttr}, then {escalation}. Risk {churn_risk_level}: {churn_risk_why}.
+Offer {compensation_policy_offer} {offered}; {compensation_policy_escalate_if}; {compensation_policy_note}.
+Say: {customer_communication}"""
+
+FIELDS_SQL = """
+f AS (SELECT p_partkey AS i, 'L' || p_partkey AS label, 'RB-' || p_partkey AS runbook_id, p_name AS title, p_brand AS owner_team,
+  p_type AS support_contact, 'chief' AS escalation, 'P1' AS priority, p_size || ' h' AS eta_ttr, 'S' || (p_size % 4) || ' by rule' AS severity_note,
+  'on ' || p_size AS last_reviewed, 'sum ' || p_name AS summary, 'line ' || p_type AS one_line, 'plain ' || p_name AS why_plain, 'deep ' || p_type AS why_technical,
+  'kindly ' || p_brand AS customer_communication, 'low' AS churn_risk_level, 'calm' AS churn_risk_why, 'credit' AS compensation_policy_offer,
+  CASE WHEN p_partkey % 2 = 0 THEN 'unasked' ELSE 'on request' END AS offered, 'asked' AS compensation_policy_escalate_if, 'once' AS compensation_policy_note,
+  '1. ' || p_name || chr(10) || '2. ' || p_brand AS fix_steps, p_name || '; ' || p_brand || '.' AS detection_cues_prose,
+  '1. ' || p_type AS confirm_checks, p_type || '.' AS confirm_checks_prose FROM part),
+t AS (SELECT 'L' || l_partkey AS label, l_orderkey * 10 + l_linenumber AS id, l_linestatus AS complaint, l_returnflag AS key_cue, l_quantity::BIGINT AS ttr_min FROM lineitem),
+s AS (SELECT label, count(*)::VARCHAR AS incidents, floor(quantile_cont(ttr_min, 0.5))::BIGINT::VARCHAR AS median_ttr,
+  min(id)::VARCHAR AS incident_id, arg_min(complaint, id) AS incident_complaint, arg_min(key_cue, id) AS incident_cue,
+  arg_min(ttr_min, id)::VARCHAR AS incident_ttr FROM t GROUP BY label)
+"""
+
+
+def _slots(template: str) -> str:
+    """SQL of a template."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(f"coalesce({p}, '')" if k % 2 else "'" + p.replace("'", "''") + "'" for k, p in enumerate(parts))
+
+
+def full_runbooks(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as runbooks with every field."""
+    return runbooks(spark, sf).select(
+        "*", F.array("title", "owner_team").alias("detection_cues"),
+        F.array("support_contact").alias("confirm_checks"), F.array("title", "owner_team").alias("fix_steps"),
+        F.struct(F.lit("low").alias("level"), F.lit("calm").alias("why")).alias("churn_risk"),
+        F.struct(F.lit("credit").alias("offer"), (F.col("i") % 2 == 0).alias("when_proactive"), F.lit("asked").alias("escalate_if"),
+                 F.lit("once").alias("note")).alias("compensation_policy"),
+        F.concat("severity", F.lit(" by rule")).alias("severity_note"), F.concat(F.lit("on "), F.split("eta_ttr", " ")[0]).alias("last_reviewed"),
+        F.concat(F.lit("sum "), "title").alias("summary"), F.concat(F.lit("line "), "support_contact").alias("one_line"), F.concat(F.lit("plain "), "title").alias("why_plain"),
+        F.concat(F.lit("deep "), "support_contact").alias("why_technical"), F.concat(F.lit("kindly "), "owner_team").alias("customer_communication"))
+
+
+@query(f"WITH {FIELDS_SQL} " + " UNION ALL ".join(
+    f"SELECT f.label, '{fact}' AS fact, {_slots(ask)} AS question, {_slots(say)} AS answer FROM f {'JOIN s USING (label)' if fact in ('before', 'median') else ''}"
+    for fact, (ask, say) in FACTS.items()))
+def runbook_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """GE6, AG14: sixteen kinds of facts per runbook, two of them from its incidents."""
+    incidents = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("L"), F.col("l_partkey").cast("string")).alias("label"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        F.col("l_linestatus").alias("complaint"), F.col("l_returnflag").alias("key_cue"), F.col("l_quantity").cast("long").alias("ttr_min"))
+    return G.templated_facts(full_runbooks(spark, sf), FACTS, incidents)
+
+
+@query(f"WITH {FIELDS_SQL} SELECT label, {_slots(PAGE)} AS document FROM f")
+def runbook_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """GE14: pages by a template of the domain, with summary, review, severity note and communication."""
+    return lookup.runbook_document(full_runbooks(spark, sf), PAGE)
+
+
+@query(f"""
+WITH c AS (SELECT d.doc_id, d.text, CASE WHEN l.toxic = 1 THEN 'ELSEWHERE' WHEN l.quality = 1 THEN ({_lit(LABELS)})[d.doc_id % {len(LABELS)} + 1] ELSE '{ABSTAIN}' END AS label
+  FROM documents d JOIN labels l USING (doc_id))
+SELECT 'hard-' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 5, '0') AS id, md5(text) AS prompt, label AS leading_root_cause,
+  CASE label {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIT.slices.items())} ELSE '{KIT.slices[ABSTAIN]}' END AS mode, '' AS reference FROM c""")
+def hard_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """GE10: hard gold cases from whole documents and their labels."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    label = F.when(F.col("toxic") == 1, "ELSEWHERE").when(F.col("quality") == 1, G.cycled_label(LABELS, F.col("doc_id"))).otherwise(ABSTAIN)
+    made = G.hard_records(rows.select(F.col("doc_id").alias("case"), F.col("text").alias("complaint"), label.alias("label")), KIT)
+    return made.select("id", F.md5(F.col("messages")[0]["content"]).alias("prompt"), "leading_root_cause", "mode", "reference")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS seq, ({_lit(LABELS)})[doc_id % {len(LABELS)} + 1] AS label FROM documents),
+s AS (SELECT *, {_by_label({k: "'" + v[0][0] + "'" for k, v in KIT.cues.items()})} AS cue FROM d),
+n AS (SELECT count(*) AS n, 4 * count(*) AS wanted FROM d),
+m(g, prefix, v) AS (VALUES ('complaint_resolution', 'sft-cr', {G.DEFAULT_MIX["complaint_resolution"]}), ('differential', 'sft-diff', {G.DEFAULT_MIX["differential"]}),
+  ('distractor', 'sft-dist', {G.DEFAULT_MIX["distractor"]}), ('abstention', 'sft-abs', {G.DEFAULT_MIX["abstention"]}))
+SELECT 'sft-auth-' || lpad(seq::VARCHAR, 5, '0') AS id, {_by_label({k: "'" + KIT.slices[k] + "'" for k in LABELS})} AS mode, md5(cue || ' ' || text) AS prompt, 1 AS n FROM s
+UNION ALL SELECT prefix, NULL, NULL, greatest(0, greatest(1, round_even(v * (wanted / {sum(G.DEFAULT_MIX.values())}::DOUBLE), 0)::BIGINT)
+  - CASE WHEN g = 'complaint_resolution' THEN n ELSE 0 END) AS n FROM m, n WHERE n > 0""")
+def authored_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """GE7, GE8, TX17: authored seeds, every document with a cue, take the place of template cases."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    seeds = order.number_rows(docs, "doc_id", "no").withColumns({"seq": F.col("no") - 1, "label": G.cycled_label(LABELS, F.col("doc_id"))})
+    cue, said = (KIT.text(F.col("label"), {k: v[0][part] for k, v in KIT.cues.items()}) for part in (0, 1))
+    seeds = seeds.select("seq", "label", F.concat_ws(" ", cue, "text").alias("complaint"), F.array(said).alias("evidence"),
+                         F.lit("Seen in the ticket.").alias("think"), F.lit(0.6).alias("confidence"))
+    n = 4 * table(spark, sf, "documents").count()
+    rows = build.chat_dataset(spark, KIT, SEED, n, cut_lineage(seeds), None, "mixed")
+    own = F.col("source") == "authored"
+    named = rows.select(F.when(own, F.col("id")).otherwise(F.regexp_replace("id", r"-\d+$", "")).alias("id"), F.when(own, F.col("mode")).alias("mode"),
+                        F.when(own, F.md5(F.col("messages")[1]["content"])).alias("prompt"))
+    return named.groupBy("id", "mode", "prompt").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""

@@ -87,6 +87,11 @@ def catalog_groups(products: DataFrame, specs: Sequence[str], pos: str = "pos")
     ).withColumn("price_label", price_label(F.col("prices")))
 
 
+def stocked(groups: DataFrame) -> DataFrame:
+    """Groups of which some product is in stock."""
+    return groups.where("available")
+
+
 def by_price(groups: DataFrame) -> DataFrame:
     """Catalogue order: lowest price first, groups without a price in front."""
     return groups.orderBy(

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from sparkcurate.functions import draw as D
 from sparkcurate.functions import text as X
 from sparkcurate.functions.chat import message, think_block
-from sparkcurate.operators.lookup import numbered_ladder, numbered_lines
+from sparkcurate.functions.text import filled
+from sparkcurate.operators.lookup import look_up, numbered_ladder, numbered_lines, runbook_fields
+from sparkcurate.operators.logs import median_floor
 from sparkcurate.operators.order import number_rows
 from sparkcurate.operators.rules import RuleBook
 from sparkcurate.session import cut_lineage, pin
@@ -37,12 +39,6 @@ STEP = "struct<action:string,addresses:string,expected_time:string,verify:string
 DIFFERENTIAL = "array<struct<rc:string,likelihood:string,why:string>>"
 
 
-def filled(template: str, values: Mapping[str, Column]) -> Column:
-    """A template's ``{name}`` slots filled with columns; the text around them is constant."""
-    parts = re.split(r"\{(\w+)\}", template)
-    return F.concat(*[F.coalesce(values[p], F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
-
-
 @dataclass(frozen=True)
 class CaseKit:
     """Domain texts of the generator."""
@@ -485,6 +481,49 @@ def runbook_facts(runbooks: DataFrame) -> DataFrame:
     return runbooks.select("label", rows.alias("r")).select("label", "r.*")
 
 
+def templated_facts(runbooks: DataFrame, templates: Mapping[str, tuple[str, str]], incidents: DataFrame | None = None,
+                    unasked: str = "unasked", on_request: str = "on request") -> DataFrame:
+    """(label, fact, question, answer): every fact of ``templates`` (question and answer with ``{field}`` slots) per runbook.
+
+    Slots are those of :func:`runbook_fields`. With ``incidents`` (label, id, complaint, key_cue, ttr_min) there are also
+    ``incident_id``, ``incident_complaint``, ``incident_cue``, ``incident_ttr`` of the first one by id, ``incidents`` and
+    ``median_ttr``; a fact that asks for them is left out for a label without incidents. A fact that asks for a column no
+    runbook has is an error.
+    """
+    rows, extra = runbooks, {}
+    if incidents is not None:
+        names = {"id": "incident_id", "complaint": "incident_complaint", "key_cue": "incident_cue", "ttr_min": "incident_ttr"}
+        first = incidents.groupBy("label").agg(F.min_by(F.struct(*names), "id").alias("f")).select(
+            "label", *[F.col(f"f.{c}").cast("string").alias(n) for c, n in names.items()])
+        middle = median_floor(incidents, "ttr_min", ("label",)).select(
+            "label", F.col("n").cast("string").alias("incidents"), F.col("median").cast("string").alias("median_ttr"))
+        rows = look_up(cut_lineage(rows), first.join(middle, "label", "left"), ["label"])
+        extra = {n: F.col(n) for n in (*names.values(), "incidents", "median_ttr")}
+    values = runbook_fields(runbooks, unasked, on_request) | extra
+    facts = []
+    for fact, (question, answer) in templates.items():
+        asked = set(re.findall(r"\{(\w+)\}", question + answer))
+        if asked - set(values):
+            raise ValueError(f"{fact} asks for unknown fields: {sorted(asked - set(values))}")
+        known = F.lit(True) if not asked & set(extra) else F.col("incidents").isNotNull()
+        facts.append(F.when(known, F.struct(F.lit(fact).alias("fact"), filled(question, values).alias("question"),
+                                            filled(answer, values).alias("answer"))))
+    return rows.select("label", F.explode(F.array_compact(F.array(*facts))).alias("r")).select("label", "r.*")
+
+
+def hard_records(cases: DataFrame, kit: CaseKit, key: str = "case", prefix: str = "hard") -> DataFrame:
+    """Gold records of written cases (``key``, complaint, label): numbered along the integer key, no reference text.
+
+    A label that the kit does not know counts as the abstention's slice, but stays the expected label.
+    """
+    numbered = number_rows(cases, key, "_no")
+    mode = F.coalesce(kit.text(F.col("label"), kit.slices), F.lit(kit.slices[kit.book.abstain]))
+    return numbered.select(
+        record_id(prefix, F.col("_no") - 1).alias("id"), mode.alias("mode"), F.col("label").alias("leading_root_cause"),
+        F.array(message("user", F.col("complaint"))).alias("messages"), F.lit("").alias("reference"),
+        F.lit(PERSONA).alias("persona"))
+
+
 def cycle_to(pairs: DataFrame, order: str, n: int) -> DataFrame:
     """n rows by repeating the numbered pairs (``order`` = 0..count-1) in turn."""
     count = pairs.count()
