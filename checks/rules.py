@@ -126,6 +126,29 @@ def verdict_columns(judged: DataFrame) -> DataFrame:
         F.array_join(v + "telemetry_hits", "|").alias("hits"))
 
 
+@query(f"""
+WITH {FACTS}, t AS (SELECT v.*, string_split(d.text, chr(10))[-1] AS quote FROM v JOIN documents d ON doc_id = i),
+u AS (SELECT *, list_filter(CASE n_ev WHEN 0 THEN [] WHEN 1 THEN [CASE WHEN NOT g1 THEN quote END]
+    ELSE [CASE WHEN NOT g1 THEN quote END, CASE WHEN NOT g2 THEN 'entirely invented claim of nothing' END] END, lambda x: x IS NOT NULL) AS loose,
+  list_filter([CASE WHEN i % 11 = 0 THEN 'runbook_id differs' END, CASE WHEN i % 2 = 1 AND i % 7 = 0 THEN 'severity is not allowed' END,
+    CASE WHEN i % 19 = 0 THEN 'priority differs' END], lambda x: x IS NOT NULL) AS unlike FROM t)
+SELECT i AS id, CASE WHEN NOT parsed THEN 'no JSON package in the answer' ELSE array_to_string(list_filter([
+  CASE WHEN NOT no_claims THEN 'unsupported claims: T+28s; delivered at; webhook was delivered' END,
+  CASE WHEN len(loose) > 0 THEN 'ungrounded evidence: ' || array_to_string(loose, '; ') END,
+  CASE WHEN NOT cue THEN CASE WHEN label = 'OMEGA' THEN 'unknown label: ' || chr(39) || 'OMEGA' || chr(39)
+    WHEN label = 'UNDECIDED' THEN 'abstained although exactly one label has a cue' ELSE 'no cue supports label ' || chr(39) || label || chr(39) END END,
+  CASE WHEN NOT calibrated THEN CASE WHEN conf IS NULL THEN 'missing or invalid confidence'
+    WHEN label = 'UNDECIDED' THEN 'confidence above 0.45' ELSE 'confidence above 0.85' END END,
+  CASE WHEN NOT runbook THEN CASE WHEN concrete THEN 'runbook: ' || array_to_string(unlike, '; ') ELSE 'an abstention must not cite a runbook' END END,
+  CASE WHEN NOT sub_ok THEN 'unknown sub cause: ' || CASE i % 10 WHEN 0 THEN 'sub1' ELSE 'nope' END END,
+  CASE WHEN NOT ladder THEN 'self-service ladder is missing, short or misnumbered' END,
+  CASE WHEN NOT no_promise THEN 'promises: Full Refund; guaranteed' END], lambda x: x IS NOT NULL), ' | ') END AS failures FROM u""")
+def verdict_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """TX17, TX7, TX9, TX12, TX15: the reasons of every verdict in full."""
+    judged = R.judge_answers(answers(spark, sf), BOOK)
+    return judged.select("id", F.array_join("verdict.failures", " | ").alias("failures"))
+
+
 def rule_tables(spark: SparkSession, sf: str) -> R.RuleTables:
     """The rules of BOOK among a label per supplier that no document speaks of."""
     supplier = table(spark, sf, "supplier").select(F.concat(F.lit("SUP"), F.col("s_suppkey").cast("string")).alias("label"), "s_name")
