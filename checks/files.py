@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks.base import KPI_SQL, LABELS, SAMPLES, UNSURE, ece_cte, query, round6, samples, table
-from checks.generation import SEED, runbooks
+from checks.generation import FEW_FACTS, SEED, runbooks
 from checks.records import CHECKED, MODES, STRATA, records
 from checks.reports import WEIGHTS, scores
 from sparkcurate.operators import generate as G
+from sparkcurate.functions.draw import digest
 from sparkcurate.operators import kpi, order, rubric, split
 from sparkcurate.operators import reports as rep
 from sparkcurate.operators.rules import RuleBook
@@ -147,12 +148,33 @@ def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
     W.write_raw_lines(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(value.alias("value")), path)
     rows = R.read_jsonl(spark, f"{path}/*.txt", "id BIGINT, mode STRING", "quarantine", numbered=True).withColumn(
         "doc_id", F.regexp_extract("value", r'"id":(\d+)', 1).cast("long"))
+    return _places(spark, path, rows, "doc_id").select("doc_id", "place", "decoded")
+
+
+def _places(spark: SparkSession, path: str, rows: DataFrame, first: str) -> DataFrame:
+    """Numbered lines of files that hold ranges of ``first``, with ``place``: their number plus the lines of the files before."""
     files = spark.read.text(f"{path}/*.txt").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("lines"))
-    # Files hold ranges of documents: a line's place among all is its number plus the lines of the files before.
     before = Window.partitionBy(F.lit(1)).orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("file").agg(F.min("doc_id").alias("low")).join(files, "file").select(
+    starts = rows.groupBy("file").agg(F.min(first).alias("low")).join(files, "file").select(
         "file", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
-    return rows.join(starts, "file").select("doc_id", (F.col("lineno") + F.col("before")).alias("place"), "decoded")
+    return rows.join(starts, "file").withColumn("place", F.col("lineno") + F.col("before"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents")
+def shuffled_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """TK6, SI7: lines written in a reproducible order of digests."""
+    docs = table(spark, sf, "documents").select("doc_id")
+    path = fresh_path(spark, "shuffled")
+    W.write_raw_lines(W.shuffled_order(docs, "doc_id", 42).select(F.col("doc_id").cast("string").alias("value")), path)
+    rows = R.read_numbered(spark, f"{path}/*.txt").withColumn("doc_id", F.col("value").cast("long"))
+    return _places(spark, path, rows.withColumn("digest", digest(42, F.col("doc_id"))), "digest").select("doc_id", "place")
+
+
+@query(f"""
+WITH {CHECKED} SELECT i::VARCHAR AS id, data_type FROM checked WHERE data_type = 'sft' AND valid AND i % 50 <> 0 AND audit_status = 'approved'""")
+def record_file(spark: SparkSession, sf: str) -> DataFrame:
+    """SC6: a materialised record file, its invalid and unaudited rows left out."""
+    return R.load_record_file(spark, f"{_record_lines(spark, sf)}/sft/*.txt", ("approved",), MODES).select("id", "data_type")
 
 
 @query("""
@@ -266,10 +288,10 @@ SELECT CASE g WHEN 'complaint_resolution' THEN 'sft-cr' WHEN 'knowledge' THEN 's
   greatest(1, round_even(v * (n.n / {sum(G.DEFAULT_MIX.values())}::DOUBLE), 0)::BIGINT) AS n FROM m, n""")
 def chat_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """GE5-GE7, SO1, WI4: the full mixture, as many records as there are documents."""
-    facts = G.runbook_facts(runbooks(spark, sf)).join(
+    facts = G.templated_facts(runbooks(spark, sf), FEW_FACTS).join(
         runbooks(spark, sf).select("label", "i"), "label")
     # Five kinds of facts each: one integer order over all of them.
-    kinds = F.array(*[F.lit(k) for k in ("time", "owner", "severity", "runbook", "reverse")])
+    kinds = F.array(*[F.lit(k) for k in FEW_FACTS])
     facts = facts.withColumn("i", F.col("i") * 5 + F.array_position(kinds, F.col("fact")))
     numbered = order.number_rows(facts.select("question", "answer", "i"), "i", "no")
     facts = numbered.withColumn("pos", F.col("no") - 1)

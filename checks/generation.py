@@ -188,18 +188,33 @@ def runbooks(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("P1").alias("priority"), F.concat(F.col("p_size").cast("string"), F.lit(" h")).alias("eta_ttr"))
 
 
+#: Five of an invented domain's facts; the answer's slots are runbook fields.
+FEW_FACTS = {
+    "time": ("When is {title} solved?", "After {eta_ttr}."),
+    "owner": ("Whom does {runbook_id} belong to?", "{owner_team}, with {support_contact}, then {escalation}."),
+    "rank": ("How urgent is {title}?", "{severity}, {priority}."),
+    "page": ("Where is {title} written up?", "In {runbook_id}."),
+    "cause": ("What is {runbook_id} about?", "{label}"),
+}
+
+
+def _slots(template: str) -> str:
+    """SQL of a template."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(f"coalesce({p}, '')" if k % 2 else "'" + p.replace("'", "''") + "'" for k, p in enumerate(parts))
+
+
+FEW_SQL = " UNION ALL ".join(f"SELECT label, '{fact}' AS fact, {_slots(ask)} AS question, {_slots(say)} AS answer FROM b"
+                             for fact, (ask, say) in FEW_FACTS.items())
+
+
 @query(f"""
-WITH {RUNBOOK_SQL}, q AS (
- SELECT label, 'time' AS fact, 'How long does ' || title || ' usually take to fix?' AS question, eta_ttr || '.' AS answer FROM b UNION ALL
- SELECT label, 'owner', 'Who owns ' || runbook_id || '?', 'Owner: ' || owner_team || '. Support: ' || support_contact || '. Escalation: ' || escalation || '.' FROM b UNION ALL
- SELECT label, 'severity', 'What severity and priority does ' || title || ' have?', 'Severity ' || severity || ', priority ' || priority || '.' FROM b UNION ALL
- SELECT label, 'runbook', 'Which runbook covers ' || title || '?', runbook_id FROM b UNION ALL
- SELECT label, 'reverse', 'Which cause does ' || runbook_id || ' cover?', label FROM b)
+WITH {RUNBOOK_SQL}, q AS ({FEW_SQL})
 SELECT label, fact, variant, replace(replace(t, '{{ql}}', lower(question[1]) || question[2:]), '{{q}}', question) AS asked, answer
-FROM q, (SELECT unnest({_lit(G.PARAPHRASES)}) AS t, generate_subscripts({_lit(G.PARAPHRASES)}, 1) - 1 AS variant) v""")
+FROM q, (SELECT unnest({_lit(KIT.paraphrases)}) AS t, generate_subscripts({_lit(KIT.paraphrases)}, 1) - 1 AS variant) v""")
 def knowledge_questions(spark: SparkSession, sf: str) -> DataFrame:
     """GE6: runbook facts, forward and reverse, in four paraphrases."""
-    pairs = G.knowledge_pairs(G.runbook_facts(runbooks(spark, sf)))
+    pairs = G.knowledge_pairs(G.templated_facts(runbooks(spark, sf), FEW_FACTS), KIT.paraphrases)
     return pairs.select("label", "fact", "variant", "asked", "answer")
 
 
@@ -283,12 +298,6 @@ s AS (SELECT label, count(*)::VARCHAR AS incidents, floor(quantile_cont(ttr_min,
 """
 
 
-def _slots(template: str) -> str:
-    """SQL of a template."""
-    parts = re.split(r"\{(\w+)\}", template)
-    return " || ".join(f"coalesce({p}, '')" if k % 2 else "'" + p.replace("'", "''") + "'" for k, p in enumerate(parts))
-
-
 def full_runbooks(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as runbooks with every field."""
     return runbooks(spark, sf).select(

@@ -149,6 +149,36 @@ def verdict_failures(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("id", F.array_join("verdict.failures", " | ").alias("failures"))
 
 
+@query("""
+SELECT doc_id AS id, CASE WHEN doc_id % 9 < 8 THEN 'record was found' ELSE '' END AS claims, CASE WHEN doc_id % 4 < 3 THEN 'Full refund' ELSE '' END AS promises,
+  md5(text) AS said FROM documents""")
+def claim_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """TX10, TX8: a claim counts wherever an answer reasons, a promise wherever it reaches the customer; copied fields do not."""
+    i = F.col("doc_id")
+    claim, promise = F.lit("The record was found."), F.lit("Full refund for you.")
+
+    def put(place: int, rest: Column | str = "fine") -> Column:
+        return F.when(i % 9 == place, claim).otherwise(F.lit(rest) if isinstance(rest, str) else rest)
+
+    def give(place: int) -> Column:
+        return F.when(i % 4 == place, promise).otherwise(F.lit("thanks"))
+
+    step = F.struct(F.lit(1).alias("tier"), F.concat_ws(" ", put(6), give(0)).alias("action"), put(7).alias("verify"), F.lit("call").alias("if_fails"))
+    package = F.struct(
+        F.struct(F.lit("ALPHA").alias("leading_root_cause"), F.lit(0.5).alias("confidence"), F.array(put(1, F.col("text"))).alias("evidence_in_ticket"),
+                 F.array(put(2)).alias("to_confirm"), F.array(F.struct(F.lit("BETA").alias("rc"), F.lit("low").alias("likelihood"), put(3).alias("why")))
+                 .alias("differential")).alias("diagnosis"),
+        put(4).alias("why_plain"), put(5).alias("why_technical"), put(8).alias("owner_team"), give(3).alias("escalation"),
+        F.struct(give(1).alias("offer")).alias("compensation"), F.array(step).alias("customer_self_service"),
+        F.struct(give(2).alias("customer_email")).alias("artifacts"))
+    rows = table(spark, sf, "documents", "doc_id", "text").select(i.alias("id"), F.md5("text").alias("said"),
+                                                                 think_block(put(0), package_json(package)).alias("answer"))
+    parsed = R.parse_answers(rows)
+    claims = X.pattern_hits(R.reasoning_scope(F.col("think"), F.col("pkg")), (r"record was found",))
+    promises = X.pattern_hits(R.customer_scope(F.col("pkg")), (r"Full refund",))
+    return parsed.select("id", "said", F.array_join(claims, "|").alias("claims"), F.array_join(promises, "|").alias("promises"))
+
+
 def rule_tables(spark: SparkSession, sf: str) -> R.RuleTables:
     """The rules of BOOK among a label per supplier that no document speaks of."""
     supplier = table(spark, sf, "supplier").select(F.concat(F.lit("SUP"), F.col("s_suppkey").cast("string")).alias("label"), "s_name")

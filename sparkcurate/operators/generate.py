@@ -64,6 +64,7 @@ class CaseKit:
     traces: Mapping[str, str]  # style -> template of the reasoning
     documents: Mapping[str, str]  # artifact -> template
     faults: Mapping[str, Mapping[str, object]]  # fault -> what it changes, see ``rejected_side``
+    paraphrases: Sequence[str] = ("{q}",)  # ways to ask a question
     no_evidence: str = "none"
     credit_note: str = ""
     version: str = "v1"
@@ -444,12 +445,9 @@ def authored_cases(seeds: DataFrame, kit: CaseKit) -> DataFrame:
     return with_answer(made.unionByName(routed))
 
 
-# Fixed values. Four ways to put the same question.
-PARAPHRASES = ("{q}", "Can you tell me: {ql}", "For our runbook, {ql}", "Quick question — {ql}")
-
-
-def knowledge_pairs(facts: DataFrame, templates: Sequence[str] = PARAPHRASES) -> DataFrame:
-    """(question, answer) facts times paraphrases; the templates are a literal, so no join."""
+def knowledge_pairs(facts: DataFrame, templates: Sequence[str]) -> DataFrame:
+    """(question, answer) facts times a domain's ways to ask (``{q}``, or ``{ql}`` with a small first letter); the
+    templates are a literal, so no join."""
     q = F.col("question")
     lower = F.concat(F.lower(F.substring(q, 1, 1)), F.substr(q, F.lit(2)))
 
@@ -460,27 +458,6 @@ def knowledge_pairs(facts: DataFrame, templates: Sequence[str] = PARAPHRASES) ->
     return facts.select("*", asked)
 
 
-def runbook_facts(runbooks: DataFrame) -> DataFrame:
-    """(label, fact, question, answer) rows from runbook columns, forward and reverse."""
-    c = F.col
-    pairs = {
-        "time": (F.format_string("How long does %s usually take to fix?", c("title")),
-                 F.format_string("%s.", c("eta_ttr"))),
-        "owner": (F.format_string("Who owns %s?", c("runbook_id")), F.format_string(
-            "Owner: %s. Support: %s. Escalation: %s.", c("owner_team"), c("support_contact"),
-            c("escalation"))),
-        "severity": (F.format_string("What severity and priority does %s have?", c("title")),
-                     F.format_string("Severity %s, priority %s.", c("severity"), c("priority"))),
-        "runbook": (F.format_string("Which runbook covers %s?", c("title")), c("runbook_id")),
-        "reverse": (F.format_string("Which cause does %s cover?", c("runbook_id")), c("label")),
-    }
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("fact"), q.alias("question"), a.alias("answer"))
-        for name, (q, a) in pairs.items()
-    ]))
-    return runbooks.select("label", rows.alias("r")).select("label", "r.*")
-
-
 def templated_facts(runbooks: DataFrame, templates: Mapping[str, tuple[str, str]], incidents: DataFrame | None = None,
                     unasked: str = "unasked", on_request: str = "on request") -> DataFrame:
     """(label, fact, question, answer): every fact of ``templates`` (question and answer with ``{field}`` slots) per runbook.

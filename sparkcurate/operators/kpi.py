@@ -216,11 +216,11 @@ def first_mistakes(samples: DataFrame, text: str, order: str = "id", k: int = 8,
     top = samples.where(~F.col("correct")).orderBy(order).limit(k)
     if texts is not None:  # k rows
         top = texts.join(F.broadcast(top), order)
-    position = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order))
+    position = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order, "gold_rc", "pred_rc", text))
     return top.select(
         position.alias("pos"), order, F.col("gold_rc"), F.col("pred_rc"),
         F.substring(F.col(text), 1, 120).alias("excerpt"),
-    )
+    ).where(F.col("pos") <= k)  # repeated ids match more texts
 
 
 def previous_delta(scores: DataFrame, run: str, mode: str, score: str, current: str) -> DataFrame:

@@ -94,8 +94,8 @@ def knowledge_records(facts: DataFrame, kit: G.CaseKit, n: int) -> DataFrame:
     """n question/answer records (no system turn) from numbered facts (``pos`` = 0, 1, …)."""
     from sparkcurate.functions.chat import message
 
-    asked = G.knowledge_pairs(facts).withColumn(
-        "order", F.col("pos") * len(G.PARAPHRASES) + F.col("variant"))
+    asked = G.knowledge_pairs(facts, kit.paraphrases).withColumn(
+        "order", F.col("pos") * len(kit.paraphrases) + F.col("variant"))
     rows = G.cycle_to(asked, "order", n)
     return rows.select(
         G.record_id("sft-kn", F.col("seq")).alias("id"), F.lit("sft").alias("data_type"),

@@ -39,6 +39,7 @@ BOOK = RuleBook(
 
 KIT = CaseKit(
     book=BOOK,
+    paraphrases=("{q}", "A reader wonders: {ql}", "Hello! {q}", "In one line, please: {ql}"),
     slices={"SYNC_STALLED": "sync", "LICENCE_LAPSED": "licence", "REGION_BLOCKED": "region",
             ABSTAIN: "abstention"},
     cues={
