@@ -8,12 +8,14 @@ binary Golay code of length 23. A word has one nearest codeword and up to six wi
 brings its nearest codeword and the other all six. Two neighbouring segments together make a key, the codeword indices
 of both: a text has ten keys on one side and 360 at most on the other, and two texts are candidates if any
 key meets in either direction. That finds 0.996 of pairs at exactly 0.8; unlike texts meet four times in 100,000
-pairs, and the last 64 bits, compared inside the join, drop nearly all of those. All other
-candidates are compared by their whole shingle sets, none by an estimate.
+pairs, and 256 bits, compared inside the join, drop all of those. Candidates within the bits that differ
+at 0.8 are compared by their whole shingle sets.
 
 Scale: equal texts are one node. Large groups of near copies are found first, by comparing each node with one leader of
 its bucket, in rounds that cost the nodes in open buckets; the full search then drops pairs of one group inside the
-join, since pairs within a group need no comparison.
+join, since pairs within a group need no comparison. Families of texts alike at 0.5 to 0.79 crowd buckets without ever
+becoming a group. Of their texts the shingles that no other crowded text has are counted: two of them can share at
+most the rest, and a pair for which that is too little is dropped inside the join, without loss.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ from sparkcurate.session import broadcast_below
 
 #: Words per shingle, similarity of near copies.
 SHINGLE, LEAST = 5, 0.8
-#: Words of 64 bits in a fingerprint, segments of 23 bits, and bits in which near copies may differ in the last word:
-#: at a similarity of 0.8 one pair in 3,000 differs in more.
-LANES, SEGMENTS, RADIUS = 8, 20, 15
-#: Pairs of one text that are compared in one place.
-PAIRS = 500
+#: Words of 64 bits in a fingerprint, and segments of 23 bits.
+LANES, SEGMENTS = 8, 20
+#: Words that are compared inside the join, and bits in which near copies may differ in them and in the whole
+#: fingerprint: at a similarity of 0.8 one pair in 1,000 differs in more of either.
+COMPARED, RADIUS, WHOLE_RADIUS = 4, 41, 73
+#: Pairs of one text that are compared in one place, and nodes from which on a bucket is crowded.
+PAIRS, CROWD = 500, 4
 #: Pairs of segments whose keys the rounds with leaders use; see ``near_copies``.
 LEADER_ROUNDS = ((0,), (1, 2), tuple(range(3, SEGMENTS // 2)))
 
@@ -146,13 +150,31 @@ def with_prints(docs: DataFrame, text: Column, row: str, node: str, size: str, p
 
 
 def entries(nodes: DataFrame, wide: bool, pairs: tuple[int, ...]) -> DataFrame:
-    """(key, node, size, root, lane): a row for each key of each node."""
+    """(key, node, size, shared, root, l0, l1, ...): a row for each key of each node; ``shared`` is -1 where not known."""
     @F.pandas_udf("array<bigint>")
     def keys(prints: pd.Series) -> pd.Series:
         return pd.Series(golay_keys(np.stack(prints.to_list()), wide, pairs) if len(prints) else [], dtype=object)
 
-    return nodes.select("node", "size", "root", F.element_at("prints", LANES).alias("lane"),
-                        F.explode(keys("prints")).alias("key"))
+    shared = F.col("shared") if "shared" in nodes.columns else F.lit(-1)
+    return nodes.select("node", "size", shared.alias("shared"), "root",
+                        *[F.get("prints", F.lit(LANES - 1 - i)).alias(f"l{i}") for i in range(COMPARED)], F.explode(keys("prints")).alias("key"))
+
+
+def differing(*words: tuple[Column, Column]) -> Column:
+    """Number of bits in which pairs of words differ."""
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in words[1:]), F.bit_count(words[0][0].bitwiseXOR(words[0][1])))
+
+
+def shared_shingles(crowded: DataFrame) -> DataFrame:
+    """(node, shared): how many shingles of each text (node, text) occur in another of them too."""
+    @F.pandas_udf("array<bigint>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
+
+    found = stored(small_batches(crowded).select("node", F.explode(hashes("text")).alias("h")))
+    common = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    counted = found.join(common, "h").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("shared"))
+    return crowded.select("node").join(counted, "node", "left").select("node", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -189,13 +211,19 @@ def near_copies(rows: DataFrame) -> DataFrame:
         return F.least(f"{a}.size", f"{b}.size") >= LEAST * F.greatest(f"{a}.size", f"{b}.size")
 
     def alike(a: str, b: str) -> Column:
-        near = F.bit_count(F.col(f"{a}.lane").bitwiseXOR(F.col(f"{b}.lane"))) <= RADIUS
-        return (F.col(f"{a}.root") != F.col(f"{b}.root")) & near & close(a, b)
+        near = differing(*[(F.col(f"{a}.l{i}"), F.col(f"{b}.l{i}")) for i in range(COMPARED)]) <= RADIUS
+        # Shared shingles of a pair: at least this many at a similarity of LEAST, at most what both share with others.
+        needed = F.floor(LEAST / (1 + LEAST) * (F.col(f"{a}.size") + F.col(f"{b}.size")))
+        least, unknown = F.least(f"{a}.shared", f"{b}.shared"), F.lit(-1)
+        return (F.col(f"{a}.root") != F.col(f"{b}.root")) & near & close(a, b) & ((least == unknown) | (least >= needed))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """``nodes`` with their roots, now that ``pairs`` (a, b) were compared too."""
         nonlocal edges
-        pairs = stored(pairs.distinct())
+        one, two = (nodes.select(F.col("node").alias(n), F.col("prints").alias(f"p{n}")) for n in "ab")
+        words = [(F.get("pa", F.lit(i)), F.get("pb", F.lit(i))) for i in range(LANES)]
+        pairs = stored(pairs.distinct().join(one, "a").join(two, "b").where(
+            differing(*words) <= WHOLE_RADIUS).select("a", "b"))
         chosen = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = nodes.select("row", "node").join(chosen, "node", "left_semi").select("row")
         found = verified(pairs, texts.join(wanted, "row", "left_semi"))
@@ -203,17 +231,23 @@ def near_copies(rows: DataFrame) -> DataFrame:
         roots = components(edges)
         return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
+    lanes = [f"l{i}" for i in range(COMPARED)]
     for number, pairs in enumerate(LEADER_ROUNDS):
         # Other texts lead in each round: one that is unlike the rest must not decide alone.
         mine = stored(entries(grouped, False, pairs))
         order = F.xxhash64("node", F.lit(number))
-        heads = mine.groupBy("key").agg(F.min(F.struct(order, "node", "size", "root", "lane")).alias("h"),
+        heads = mine.groupBy("key").agg(F.min(F.struct(order, "node", "size", "shared", "root", *lanes)).alias("h"),
                                         F.min("root").alias("low"), F.max("root").alias("high"))
         heads = heads.where("low < high").select("key", "h.*")
         grouped = linked(mine.alias("m").join(heads.alias("h"), "key").where(alike("m", "h")).select(
             F.col("h.node").alias("a"), F.col("m.node").alias("b")))
-    grouped = stored(grouped)
-    every = tuple(range(SEGMENTS // 2))
+    grouped, every = stored(grouped), tuple(range(SEGMENTS // 2))
+    mine = stored(entries(grouped, False, every).select("key", "node", "root"))
+    full = mine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    members = mine.join(full.where(F.expr(f"n >= {CROWD} AND low < high")).select("key"), "key", "left_semi").select("node").distinct()
+    wanted = nodes.select("row", "node").join(members, "node", "left_semi").select("row")
+    known = shared_shingles(stored(texts.join(wanted, "row", "left_semi").select("node", "text")))
+    grouped = stored(grouped.join(known, "node", "left").withColumn("shared", F.coalesce("shared", F.lit(-1))))
     met = entries(grouped, False, every).alias("n").join(entries(grouped, True, every).alias("w"), "key").where(alike("n", "w"))
     pairs = met.select(F.least("n.node", "w.node").alias("a"), F.greatest("n.node", "w.node").alias("b"))
     return linked(pairs).where("root <> node").select("node", "root")

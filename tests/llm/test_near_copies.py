@@ -85,7 +85,8 @@ def test_groups_equal_brute_force(spark):
 def test_leaders_unlike_the_rest_lose_no_pair(spark, monkeypatch):
     """With one key for all, every pair is a candidate; pairs of any leader's leftovers are still compared."""
     monkeypatch.setattr(near_copies, "golay_keys", lambda prints, wide, pairs: [np.array([7])] * len(prints))
-    monkeypatch.setattr(near_copies, "RADIUS", 64)
+    monkeypatch.setattr(near_copies, "RADIUS", 256)
+    monkeypatch.setattr(near_copies, "WHOLE_RADIUS", 512)
     texts = copies(8)[:90]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert near_copies.one_per_group(docs).count() == len(set(brute_groups(texts)))
@@ -104,9 +105,10 @@ def met(a, b):
     prints = np.array([near_copies.fingerprints(one), near_copies.fingerprints(two)])
     every = tuple(range(near_copies.SEGMENTS // 2))
     narrow, wide = (near_copies.golay_keys(prints, w, every) for w in (False, True))
-    far = int(np.bitwise_count((prints[0, -1:] ^ prints[1, -1:]).view(np.uint64))[0])
+    far = np.bitwise_count((prints[0] ^ prints[1]).view(np.uint64))
+    near = far[-near_copies.COMPARED :].sum() <= near_copies.RADIUS and far.sum() <= near_copies.WHOLE_RADIUS
     shared = np.isin(narrow[0], wide[1]).any() or np.isin(narrow[1], wide[0]).any()
-    return shared and far <= near_copies.RADIUS, near_copies.similarity(one, two)
+    return shared and near, near_copies.similarity(one, two)
 
 
 def test_recall_of_pairs_at_every_similarity():
@@ -157,3 +159,9 @@ def test_families_that_share_a_passage_stay_apart(spark):
     texts += [t + " end" for t in texts[::10]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert near_copies.one_per_group(docs).count() == len(set(brute_groups(texts)))
+
+
+def test_shared_shingles_count_what_others_have(spark):
+    rows = [(1, "a b c d e f g"), (2, "x a b c d e"), (3, "q r s t u"), (4, ""), (5, "A B C D E f"), (6, None)]
+    got = {r.node: r.shared for r in near_copies.shared_shingles(spark.createDataFrame(rows, "node long, text string")).collect()}
+    assert got == {1: 2, 2: 1, 3: 0, 4: 0, 5: 2, 6: 0}
