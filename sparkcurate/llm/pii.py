@@ -5,13 +5,13 @@ the one and the two words before a seed are lexical patterns. A pattern is score
 introduces against all its occurrences in the corpus, so that ``the`` introduces numbers, but mostly
 other things, and scores near zero, while ``passport:`` scores high. Identifier-like tokens
 that follow well-scored patterns become instances with a confidence of their own, and lift further
-patterns, for ``rounds`` rounds. Tokens behind patterns of final confidence become spans of the kind that
-the pattern introduces.
+patterns, also such as no seed ever follows, for ``rounds`` rounds. Tokens behind patterns of final confidence
+become spans of the kind that the pattern introduces.
 
 Base spans are a projection. The graph holds distinct (pattern, value) edges with counts, summed before
-they are shuffled; a pattern or value of any frequency is one row. Patterns need a support of
-``rare_share`` of all seeds, so there are at most ``2 / rare_share`` of them: that bounds the broadcast with
-which all words of the corpus are counted against them. Texts are read twice and never shuffled.
+they are shuffled; a pattern or value of any frequency is one row. A pattern must introduce a fixed number of
+different values, whatever the size of the corpus. The words of the corpus are counted against the patterns by a broadcast
+while those are few, else by word pairs that are counted before they are shuffled. Texts are read twice.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.llm.common import WORD, documents, let, lower_ascii, stored
 from sparkcurate.llm.spans import SPAN, count_kind, joined, pattern_spans, together
+from sparkcurate.session import broadcast_below
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -94,11 +95,14 @@ def context_totals(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(f"({WORD})"), F.lit(1))
     pairs = texts.select(words.alias("words")).select(F.explode(F.transform(
         "words", lambda w, i: F.struct(w.alias("w"), F.get("words", i - 1).alias("v")))).alias("x"))
-    # The patterns are bounded by the support they need.
-    met = pairs.join(F.broadcast(heads), F.col("x.w") == F.col("head"))
-    fits = (F.col("pattern") == F.col("head")) | (
-        F.col("pattern") == F.concat_ws(" ", F.col("x.v"), F.col("head")))
-    return met.where(fits).groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    heads = stored(heads)
+    few = broadcast_below(heads)
+    counted = pairs.select("x.w", "x.v", F.lit(1).alias("n"))
+    if few is heads:  # too many for a broadcast: equal pairs are counted first
+        counted = counted.groupBy("w", "v").agg(F.sum("n").alias("n"))
+    met = counted.join(few, F.col("w") == F.col("head"))
+    fits = (F.col("pattern") == F.col("head")) | (F.col("pattern") == F.concat_ws(" ", F.col("v"), F.col("head")))
+    return met.where(fits).groupBy("pattern").agg(F.sum("n").alias("total"))
 
 
 def score_patterns(edges: DataFrame, totals: DataFrame, seeds: DataFrame, rounds: int = 3,
@@ -131,7 +135,7 @@ def score_patterns(edges: DataFrame, totals: DataFrame, seeds: DataFrame, rounds
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3,
-                  least_seeds: int = 3, rare_share: float = 1e-4, accept: float = 0.6) -> DataFrame:
+                  least_values: int = 3, accept: float = 0.6) -> DataFrame:
     """Personal data of every row: the id, ``base`` (spans of the base kinds) and ``more`` (found by context).
 
     One row per input row, repeated ones included. A null text counts as empty and has no spans. Null ids
@@ -151,18 +155,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = rows.select("row", F.explode(F.concat("base", free)).alias("s"))
     uses = stored(spans.select(
         "row", "s.start", "s.end", "s.kind", "s.value", contexts(F.col("s")).alias("patterns")))
-    seed_uses = uses.where("kind <> 'token'")
-    seeds = stored(seed_uses.select("value", "kind").distinct())
-    support = seed_uses.select(F.explode("patterns").alias("pattern"), "value")
-    least = max(least_seeds, int(rare_share * seed_uses.count()))
-    patterns = stored(
-        support.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("values"))
-        .where(f"n >= {least} and values >= {least_seeds}").select("pattern"))
+    seeds = stored(uses.where("kind <> 'token'").select("value", "kind").distinct())
+    graph = stored(uses.select(F.explode("patterns").alias("pattern"), "value").groupBy("pattern", "value")
+                   .agg(F.count(F.lit(1)).alias("n")))
+    patterns = stored(graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"))
+                      .where(F.col("values") >= least_values).select("pattern"))
     totals = stored(context_totals(texts, patterns))
-    edges = stored(
-        uses.select(F.explode("patterns").alias("pattern"), "value").groupBy("pattern", "value")
-        .agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(patterns), "pattern"))
-    scores = score_patterns(edges, totals, seeds, rounds).where(f"score >= {accept}")
+    edges = stored(graph.join(broadcast_below(patterns), "pattern"))
+    scores = score_patterns(edges, totals, seeds, rounds, least_values).where(f"score >= {accept}")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     chosen = stored(scores.groupBy("pattern").agg(
         F.max(F.struct(F.col("score"), (-rank).alias("r"))).alias("best")).select(

@@ -195,3 +195,47 @@ def test_licenses_at_the_edges(edge_docs, edge_rows, no_docs):
     found = licenses.scan_licenses(edge_docs, path_col="source").collect()
     assert Counter(r.doc_id for r in found) == Counter(i for i, _, _ in edge_rows)
     assert licenses.scan_licenses(no_docs, path_col="source").count() == 0
+
+
+def planted():
+    """Identifiers of four kinds of notices: only the first introduces addresses that the base patterns know."""
+    known, first, second, third = ([f"{name}{i}-{i * 37 % 91}q" for i in range(n)]
+                                   for name, n in (("none", 0), ("usr", 12), ("acc", 9), ("ref", 6)))
+    rows = [f"please write mailbox: someone{i}@host{i}.org today" for i in range(30)]
+    rows += [f"please write mailbox: {x} today" for x in first]
+    rows += [f"then login= {x} works" for x in first * 2 + second]
+    rows += [f"see ticket# {x} here" for x in second * 2 + third]
+    rows += [f"about the {x} of the {x} or the end" for x in ("n1-x", "n2-x", "n3-x", "n4-x")] + ["the word the word the word"] * 40
+    return [(i, text) for i, text in enumerate(rows)], first, second, third
+
+
+def test_each_round_adds_identifiers_behind_new_patterns(spark):
+    rows, *groups = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for rounds in (1, 2, 3, 4, 6):
+        spans = pii.personal_data(docs, rounds=rounds).select(F.explode("more").alias("s")).select("s.kind", "s.value").collect()
+        assert {r.kind for r in spans} == {"email"}
+        found[rounds] = {r.value for r in spans}
+    assert found[1] <= found[2] <= found[3] <= found[4] <= found[6]
+    sizes = [len(found[r]) for r in (1, 2, 3, 6)]
+    assert sizes[0] < sizes[-1] and len(set(sizes)) >= 3, sizes
+    assert found[1] == set(groups[0])
+    assert found[6] == {x for some in groups for x in some}
+
+
+def test_support_does_not_grow_with_the_corpus(spark):
+    rows, *groups = planted()
+    noise = [(1000 + i, f"w{i % 50} other{i}@else{i}.net") for i in range(3000)]
+    docs = spark.createDataFrame(rows + noise, "doc_id long, text string")
+    spans = pii.personal_data(docs, rounds=6).select(F.explode("more").alias("s")).select("s.value").collect()
+    assert {r.value for r in spans} >= set(groups[0])
+
+
+def test_patterns_too_many_for_a_broadcast_are_counted_alike(spark, monkeypatch):
+    rows, *groups = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ("doc_id", joined(F.concat("base", "more")).alias("spans"))
+    one = sorted(map(tuple, pii.personal_data(docs).select(*columns).collect()))
+    monkeypatch.setattr(pii, "broadcast_below", lambda df: df)
+    assert sorted(map(tuple, pii.personal_data(docs).select(*columns).collect())) == one
