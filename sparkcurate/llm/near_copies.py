@@ -217,6 +217,11 @@ def near_copies(rows: DataFrame) -> DataFrame:
         least, unknown = F.least(f"{a}.shared", f"{b}.shared"), F.lit(-1)
         return (F.col(f"{a}.root") != F.col(f"{b}.root")) & near & close(a, b) & ((least == unknown) | (least >= needed))
 
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(row, node, text) of some nodes; only their row numbers meet all texts."""
+        wanted = nodes.select("row", "node").join(some, "node", "left_semi").select("row")
+        return texts.join(broadcast_below(stored(wanted)), "row", "left_semi")
+
     def linked(pairs: DataFrame) -> DataFrame:
         """``nodes`` with their roots, now that ``pairs`` (a, b) were compared too."""
         nonlocal edges
@@ -225,8 +230,7 @@ def near_copies(rows: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct().join(one, "a").join(two, "b").where(
             differing(*words) <= WHOLE_RADIUS).select("a", "b"))
         chosen = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = nodes.select("row", "node").join(chosen, "node", "left_semi").select("row")
-        found = verified(pairs, texts.join(wanted, "row", "left_semi"))
+        found = verified(pairs, texts_of(chosen))
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges)
         return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -245,8 +249,7 @@ def near_copies(rows: DataFrame) -> DataFrame:
     mine = stored(entries(grouped, False, every).select("key", "node", "root"))
     full = mine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     members = mine.join(full.where(F.expr(f"n >= {CROWD} AND low < high")).select("key"), "key", "left_semi").select("node").distinct()
-    wanted = nodes.select("row", "node").join(members, "node", "left_semi").select("row")
-    known = shared_shingles(stored(texts.join(wanted, "row", "left_semi").select("node", "text")))
+    known = shared_shingles(stored(texts_of(members).select("node", "text")))
     grouped = stored(grouped.join(known, "node", "left").withColumn("shared", F.coalesce("shared", F.lit(-1))))
     met = entries(grouped, False, every).alias("n").join(entries(grouped, True, every).alias("w"), "key").where(alike("n", "w"))
     pairs = met.select(F.least("n.node", "w.node").alias("a"), F.greatest("n.node", "w.node").alias("b"))
