@@ -72,8 +72,7 @@ SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS kept FROM k"
 def stream_kept_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     """ST2, ST3: arrivals three days apart, over five runs from one checkpoint, with replays in the next and late copies
     three runs on."""
-    for name, setting in jobs.ROCKSDB.items():
-        spark.conf.set(name, setting)
+    before = {name: spark.conf.get(name, None) for name in jobs.ROCKSDB}
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     run = F.floor((F.col("ts").cast("double") - F.lit(1704067200)) / (6 * 86400))
     again = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).when(
@@ -81,10 +80,17 @@ def stream_kept_arrivals(spark: SparkSession, sf: str) -> DataFrame:
     rows = events.withColumn("after", F.explode(again)).withColumn("run", run + F.col("after"))
     source, path, state = (fresh_path(spark, f"arrivals-{part}") for part in ("in", "out", "state"))
     schema = "event_id LONG, user_id LONG, event_type STRING, ts TIMESTAMP"
+    for name, setting in jobs.ROCKSDB.items():
+        spark.conf.set(name, setting)
     for number in range(5):
         rows.where(F.col("run") == number).select("event_id", "user_id", "event_type", "ts").write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         kept = jobs.kept_arrivals(stream, ("user_id", "event_type"), "ts", timedelta(days=3))
         jobs.to_table(kept, path, state).awaitTermination()
+    for name, setting in before.items():
+        if setting is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, setting)
     out = spark.read.schema(schema).parquet(path)
     return out.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("kept"))
