@@ -470,7 +470,8 @@ def templated_facts(runbooks: DataFrame, templates: Mapping[str, tuple[str, str]
     rows, extra = runbooks, {}
     if incidents is not None:
         names = {"id": "incident_id", "complaint": "incident_complaint", "key_cue": "incident_cue", "ttr_min": "incident_ttr"}
-        first = incidents.groupBy("label").agg(F.min_by(F.struct(*names), "id").alias("f")).select(
+        # Incidents of one id are told apart by their other fields, so that the choice does not depend on the partitions.
+        first = incidents.groupBy("label").agg(F.min(F.when(F.col("id").isNotNull(), F.struct(*names))).alias("f")).select(
             "label", *[F.col(f"f.{c}").cast("string").alias(n) for c, n in names.items()])
         middle = median_floor(incidents, "ttr_min", ("label",)).select(
             "label", F.col("n").cast("string").alias("incidents"), F.col("median").cast("string").alias("median_ttr"))

@@ -43,6 +43,14 @@ def test_facts_ask_for_incidents_only_where_there_are_some(spark, books):
     assert G.knowledge_pairs(G.templated_facts(books, {"id": templates["id"]}), KIT.paraphrases).count() == 12
 
 
+def test_first_incident_does_not_depend_on_the_order_of_rows(spark, books):
+    rows = [("A", 1, "b", "z", 9), ("A", 1, "a", "y", 4), ("A", 1, "c", "x", 2), ("A", None, "0", "0", 0)]
+    templates = {"before": ("Before?", "{incident_id} {incident_complaint} {incident_cue} {incident_ttr}")}
+    for some in (rows, rows[::-1], rows[1:] + rows[:1]):
+        incidents = spark.createDataFrame(some, "label string, id long, complaint string, key_cue string, ttr_min long").coalesce(1)
+        assert [r.answer for r in G.templated_facts(books, templates, incidents).collect()] == ["1 a y 4"]
+
+
 def test_hard_cases_keep_their_label(spark):
     rows = [(70, "it blinks", KIT.book.labels[0]), (5, "it hums", ABSTAIN), (9, "odd", "ELSEWHERE"), (1_000_000_007, None, None)]
     made = G.hard_records(spark.createDataFrame(rows, "case long, complaint string, label string"), KIT).collect()
