@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +23,15 @@ from sparkcurate.sources import readers as R
 from sparkcurate.sources import writers as W
 
 
-def _record_lines(spark: SparkSession, sf: str) -> str:
-    """Record folders of JSON lines; every 50th line is cut short, so it is no JSON."""
+def _record_lines(spark: SparkSession, sf: str, kinds: Sequence[str] = ("sft", "reasoning", "preference")) -> str:
+    """Record folders of compressed JSON lines; every 50th line is cut short, so it is no JSON."""
     root = fresh_path(spark, "records")
     rows = records(spark, sf)
     line = F.to_json(F.struct(*[c for c in rows.columns if c != "doc_id"]))
     broken = F.substr(line, F.lit(1), F.length(line) - 1)
     rows = rows.withColumn("value", F.when(F.col("doc_id") % 50 == 0, broken).otherwise(line))
-    for kind in ("sft", "reasoning", "preference"):
-        W.write_raw_lines(rows.where(F.col("data_type") == kind), f"{root}/{kind}")
+    for kind in kinds:
+        W.write_raw_lines(rows.where(F.col("data_type") == kind), f"{root}/{kind}", compression="gzip")
     return root
 
 
@@ -44,7 +46,7 @@ def record_folders(spark: SparkSession, sf: str) -> DataFrame:
     from sparkcurate.operators.validate import validation_stats
 
     root = _record_lines(spark, sf)
-    paths = [f"{root}/{kind}/*.txt" for kind in ("sft", "reasoning", "preference", "nothing")]
+    paths = [f"{root}/{kind}/*.txt.gz" for kind in ("sft", "reasoning", "preference", "nothing")]
     rows = R.read_records(spark, paths, "quarantine", MODES)
     out = fresh_path(spark, "stats")
     W.write_jsonl(validation_stats(rows), out)
@@ -174,7 +176,7 @@ def shuffled_lines(spark: SparkSession, sf: str) -> DataFrame:
 WITH {CHECKED} SELECT i::VARCHAR AS id, data_type FROM checked WHERE data_type = 'sft' AND valid AND i % 50 <> 0 AND audit_status = 'approved'""")
 def record_file(spark: SparkSession, sf: str) -> DataFrame:
     """SC6: a materialised record file, its invalid and unaudited rows left out."""
-    return R.load_record_file(spark, f"{_record_lines(spark, sf)}/sft/*.txt", ("approved",), MODES).select("id", "data_type")
+    return R.load_record_file(spark, f"{_record_lines(spark, sf, ("sft",))}/sft/*.txt.gz", ("approved",), MODES).select("id", "data_type")
 
 
 @query("""

@@ -18,9 +18,9 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_raw_lines(df: DataFrame, path: str, value: str = "value",
-                    mode: str = "errorifexists") -> None:
-    """The original lines, unchanged (for splits that must keep unknown fields)."""
-    df.select(value).write.mode(mode).text(path)
+                    mode: str = "errorifexists", compression: str = "none") -> None:
+    """The original lines, unchanged (for splits that must keep unknown fields). ``compression``: as of Spark's text writer."""
+    df.select(value).write.mode(mode).text(path, compression=compression)
 
 
 def shuffled_order(df: DataFrame, id_col: str, seed: int) -> DataFrame:

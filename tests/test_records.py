@@ -321,3 +321,12 @@ def test_sinks(spark, tmp_path):
     assert W.ordered(df, ("split",)).columns == ["split", "id", "t"]
     assert [r.id for r in W.shuffled_order(df, "id", 1).collect()] == [
         r.id for r in W.shuffled_order(df.repartition(3), "id", 1).collect()]
+
+
+def test_raw_lines_may_be_compressed(spark, tmp_path):
+    from sparkcurate.sources import writers
+
+    lines = ["{}", '{"a": "ü"}', ""]
+    writers.write_raw_lines(spark.createDataFrame([(x,) for x in lines], "value string"), str(tmp_path / "raw"), compression="gzip")
+    assert list((tmp_path / "raw").glob("*.txt.gz"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "raw" / "*.txt.gz")).collect()) == sorted(lines)
