@@ -114,6 +114,12 @@ def test_bit_probabilities_sum_to_one():
     assert sum(shares) < 1.0
 
 
+def test_tables_learn_from_every_training_document(spark):
+    docs = spark.createDataFrame([(n, f"word{n} said") for n in range(12)], "id long, text string")
+    model = lm_scoring.train(docs, lm_scoring.token_counts(docs), slots_log2=16)
+    assert model.words.any() and model.three.any()
+
+
 def test_weights_learn_from_every_bit():
     """The step of the weights over one block equals the gradient summed bit by bit."""
     rng = np.random.default_rng(11)
