@@ -20,6 +20,7 @@ most the rest, and a pair for which that is too little is dropped inside the joi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -39,8 +40,8 @@ LANES, SEGMENTS = 8, 20
 #: Words that are compared inside the join, and bits in which near copies may differ in them and in the whole
 #: fingerprint: at a similarity of 0.8 one pair in 1,000 differs in more of either.
 COMPARED, RADIUS, WHOLE_RADIUS = 4, 41, 73
-#: Pairs of one text that are compared in one place, and nodes from which on a bucket is crowded.
-PAIRS, CROWD = 500, 4
+#: Texts on either side of the pairs that are compared in one place, and nodes from which on a bucket is crowded.
+SIDE, CROWD = 128, 4
 #: Pairs of segments whose keys the rounds with leaders use; see ``near_copies``.
 LEADER_ROUNDS = ((0,), (1, 2), tuple(range(3, SEGMENTS // 2)))
 
@@ -178,26 +179,32 @@ def shared_shingles(crowded: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) are similar enough."""
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, last, held = [], None, None
-        for a, b in zip(left, right, strict=True):
-            if held is None or a != last:
-                last, held = a, shingles(a)
-            out.append(similarity(held, shingles(b)) >= LEAST)
-        return pd.Series(out, dtype="bool")
-
-    # A text compared with very many others is copied, so that no task gets all of its pairs.
-    often = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / PAIRS).alias("copies")).where("copies > 0")
-    often = broadcast_below(stored(often))
-    parts = F.coalesce("copies", F.lit(0)).cast("int")
-    dealt = pairs.join(often, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts + 1).cast("int").alias("part"))
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("x")).join(often, "a", "left").select(
-        "a", "x", F.explode(F.sequence(F.lit(0), parts)).alias("part"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    met = dealt.join(two, "b").join(one, ["a", "part"])
-    return stored(met.where(similar("x", "y")).select("a", "b"))
+    """The different pairs (a, b) whose texts (node, text) are similar enough.
+
+    Pairs of one family lie in cells of about ``SIDE`` texts on either side, so that a text is sent once a cell and not once a
+    pair. A family are the texts whose least partner is the same.
+    """
+    family = pairs.groupBy("b").agg(F.min("a").alias("family"))
+    dealt = stored(pairs.join(family, "b"))
+    ones = dealt.select("family", "a").distinct().groupBy("family").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("ones"))
+    twos = dealt.select("family", "b").distinct().groupBy("family").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("twos"))
+    large = broadcast_below(stored(ones.join(twos, "family").where("ones > 1 OR twos > 1")))
+    part = [F.pmod(F.xxhash64(side), F.coalesce(parts, F.lit(1))) for side, parts in (("a", "ones"), ("b", "twos"))]
+    cells = stored(dealt.join(large, "family", "left").select("a", "b", F.xxhash64("family", *part).alias("cell")))
+    wanted = cells.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    met = wanted.join(texts.select("node", "text"), "node").groupBy("cell").agg(F.collect_list(F.struct("node", "text")).alias("said"))
+    asked = cells.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
+    rows = asked.join(met, "cell").select(F.col("asked.a").alias("a"), F.col("asked.b").alias("b"), "said.node", "said.text")
+
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for ones, twos, nodes, said in batch.itertuples(index=False):
+                held = {n: shingles(t) for n, t in zip(nodes.tolist(), said, strict=True)}
+                out += [(a, b) for a, b in zip(ones.tolist(), twos.tolist(), strict=True) if similarity(held[a], held[b]) >= LEAST]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return stored(small_batches(rows).mapInPandas(similar, "a long, b long"))
 
 
 def near_copies(rows: DataFrame) -> DataFrame:

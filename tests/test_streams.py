@@ -61,3 +61,11 @@ def test_batches_do_not_matter(runs, tmp_path):
     batches = [rows[a:b] + rng.sample(rows[max(0, a - 8) : a], min(4, a)) for a, b in zip(cuts, cuts[1:])]
     got = runs(*batches)
     assert [r[:2] for r in got] == sorted(r[:2] for r in want)
+
+
+def test_ids_of_one_bucket_do_not_mix(runs, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 1)
+    assert runs(
+        [(1, 0, "a"), (2, 1, "b"), (1, 2, "c"), (2, 7, "d"), (3, 4, "e")],
+        [(3, 8, "within"), (1, 6, "f"), (2, 11, "within")],
+    ) == [(1, 0, "a"), (1, 6, "f"), (2, 1, "b"), (2, 7, "d"), (3, 4, "e")]
