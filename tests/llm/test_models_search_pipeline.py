@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -120,6 +121,50 @@ def test_tables_learn_from_every_training_document(spark):
     assert model.words.any() and model.three.any()
 
 
+def small_model():
+    rng = np.random.default_rng(5)
+    symbol = lm_scoring.symbols_of(np.bincount(np.frombuffer(b"abcdef ghi   \n" * 30, np.uint8), minlength=256))
+    code = lm_scoring.Code(symbol, rng.integers(0, 9, (lm_scoring.CODES**2, lm_scoring.CODES)))
+    words = {p: rng.integers(-90, 90, lm_scoring.PAGE // 2).astype(np.int8) for p in range(4)}
+    return lm_scoring.Model(code, {}, words, 16)
+
+
+def test_texts_scored_together_cost_what_they_cost_alone():
+    model, rng = small_model(), random.Random(3)
+    texts = [[bytes(rng.choices(b"abcdefghiz\xc3", k=rng.randint(1, 9))) for _ in range(n)]
+             for n in (0, 1, 3, 700, 40, 2500, 5, 900, 0, 333, 4000, 12)]
+    assert model.costs(texts) == pytest.approx([model.cost(t) for t in texts], rel=1e-6)
+
+
+def test_pages_are_sent_small_and_whole():
+    """A table in use takes two bytes a slot at most on its way, and comes back as it was."""
+    page = np.random.default_rng(8).geometric(0.5, lm_scoring.PAGE).astype(np.uint32) - 1
+    page[:3] = 255, 254, 1 << 31
+    packed = lm_scoring.packed_counts(page)
+    assert (lm_scoring.unpacked_counts(packed) == page).all() and len(packed) < lm_scoring.PAGE
+
+
+def test_word_bits_from_token_counts_are_those_of_the_texts():
+    code, rng = small_model().code, random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdz", k=rng.randint(1, 5))) for _ in range(n)) for n in (0, 1, 200, 2, 90)]
+    counts, ends, pairs = Counter(), Counter(), np.zeros((lm_scoring.CODES**2, lm_scoring.CODES), dtype=np.int64)
+    want = lm_scoring.Tally(2 << 16)
+    for text in texts:
+        words = lm_scoring.tokens_of(text)
+        counts.update([*words, b""])
+        ends.update(words[-1:])
+        data = np.frombuffer(lm_scoring.coded(words), dtype=np.uint8)
+        keys = (lm_scoring.last_codes(code.symbol[data], code.blank) & 0xFFF) << 6 | code.symbol[data]
+        np.add.at(pairs.reshape(-1), keys, 1)
+        of, at = code.bits(keys)
+        rows = lm_scoring.word_rows(lm_scoring.word_hashes(data)[0], 16)
+        want.add(lm_scoring.count_slots(rows[of], code.steps[at].astype(np.int64)))
+    got = lm_scoring.Tally(2 << 16)
+    batch = pd.DataFrame([(t, n, ends[t]) for t, n in counts.items()], columns=["token", "n", "ends"])
+    lm_scoring.count_word_bits(got, batch, code, 16, pairs)
+    assert (got.tables[0] == want.tables[0]).all()
+
+
 def test_weights_learn_from_every_bit():
     """The step of the weights over one block equals the gradient summed bit by bit."""
     rng = np.random.default_rng(11)
