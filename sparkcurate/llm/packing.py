@@ -36,10 +36,14 @@ ROUNDS = 60
 
 #: Fixed value: how the tokenizer's file splits words, said for lower-case words of the characters in ``PLAIN``.
 PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž\n]+")
-#: Lines with a special token or with other characters than ASCII and composed Latin letters.
-ODD = re.compile("[^\n]*(?:[^\n\x21-\x7eÀ-ÖØ-öø-įı-ž]|<[|])[^\n]*")
+#: Special tokens, and other characters than ASCII and composed Latin letters.
+ODD = re.compile("[^\n\x21-\x7eÀ-ÖØ-öø-įı-ž]|<[|]")
 #: Fixed value: the mark of a token that ends a word.
 WORD_END = "</w>"
+#: Fixed value: the letter that stands for each byte of a part; a blank stays between parts.
+BYTE_LETTERS = np.arange(256, dtype="<u2")
+BYTE_LETTERS[[*range(33), *range(127, 161), 173]] = np.arange(256, 324)
+BYTE_LETTERS[32] = 32
 #: No id has these bytes: between words.
 BREAK = b"\xff\xff\xff\xff"
 
@@ -83,8 +87,12 @@ class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already uses every core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The model alone, for parts that are in lower case and split already: they stand between blanks.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
         names = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(names.values()) + 1, dtype=bool)
         self.closes[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
@@ -96,7 +104,8 @@ class Encoder:
 
     def _of_parts(self, parts: list[str]) -> list[bytes]:
         """Ids of each part, all in one go: the marks of word ends tell them apart."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        text = BYTE_LETTERS[np.frombuffer(" ".join(parts).encode(), dtype=np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(parts):
             return self._one_by_one(parts)
@@ -105,7 +114,9 @@ class Encoder:
 
     def _of_words(self, words: list[bytes]) -> list[bytes]:
         text = b"\n".join(words).decode()
-        odd = [w.encode() for w in ODD.findall(text)]
+        # One pass over the characters: a search for whole lines would try each of them twice.
+        ends = ((text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())) for m in ODD.finditer(text))
+        odd = [text[i : j if j >= 0 else len(text)].encode() for i, j in dict.fromkeys(ends)]
         if odd:
             made = dict(zip(odd, self._one_by_one([w.decode() for w in odd]), strict=True))
             plain = [w for w in words if w not in made]

@@ -36,6 +36,17 @@ def test_cached_ids_are_the_tokenizers(plain, encoder, parts):
     assert encoder.encode([text]) == [want]
 
 
+def test_split_parts_meet_the_model_alone(plain, encoder, monkeypatch):
+    """Parts of any letters take the short way: the whole tokenizer is not asked for them."""
+    monkeypatch.setattr(Encoder, "_one_by_one", None)
+    words = ["naïve", "größe", "žižek", "n\u0142\u0105ka", "\u00ad".join("ab"), "x", "--", "''", "4", "'s"]
+    parts = [w for w in words if packing.PARTS.fullmatch(w)]
+    assert len(parts) > 6
+    want = [np.array(plain.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() for p in parts]
+    monkeypatch.setattr(encoder, "tokenizer", None)
+    assert encoder._of_parts(parts) == want
+
+
 def test_a_full_cache_changes_nothing(plain, monkeypatch):
     monkeypatch.setattr(packing, "CACHED", 5)
     small, rng = Encoder(PATH), random.Random(1)
