@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sparkcurate.llm import mixing, near_copies, sharding, simhash
+from sparkcurate.llm.common import stored
 
 
 def brute_fingerprint(text):
@@ -76,6 +77,14 @@ def test_groups_equal_brute_force(spark):
     assert found == brute_groups(rows)
 
 
+def test_stars_are_components_without_a_round(spark, monkeypatch):
+    """Edges that hang on roots already are written once: the driver plans no round that changes nothing."""
+    written = []
+    monkeypatch.setattr(simhash, "stored", lambda df: written.append(1) or stored(df))
+    edges = spark.createDataFrame([(1, 5), (7, 1), (2, 3), (3, 2), (4, 4)], "a long, b long")
+    assert sorted(simhash.components(edges).collect()) == [(3, 2), (5, 1), (7, 1)] and len(written) == 1
+
+
 def test_components_of_long_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 50)]
