@@ -13,13 +13,16 @@ at 0.8 are compared by their whole shingle sets.
 
 Scale: equal texts are one node. Large groups of near copies are found first, by comparing each node with one leader of
 its bucket, in rounds that cost the nodes in open buckets; the full search then drops pairs of one group inside the
-join, since pairs within a group need no comparison. Families of texts alike at 0.5 to 0.79 crowd buckets without ever
+join, since pairs within a group need no comparison. The wide keys of the full search are sent only if some text has
+that key on the other side, as a bitmap of all keys tells (21 MB at most, packed; exact). Groups that were found stay; what
+a round adds links whole groups, so that only those are searched for components. Families of texts alike at 0.5 to 0.79 crowd buckets without ever
 becoming a group. Of their texts the shingles that no other crowded text has are counted: two of them can share at
 most the rest, and a pair for which that is too little is dropped inside the join, without loss.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -42,6 +45,10 @@ LANES, SEGMENTS = 8, 20
 COMPARED, RADIUS, WHOLE_RADIUS = 4, 41, 73
 #: Texts on either side of the pairs that are compared in one place, and nodes from which on a bucket is crowded.
 SIDE, CROWD = 128, 4
+#: Bytes of a bitmap of all keys, and of one page of it as Spark makes them.
+BITMAP, PAGE = SEGMENTS // 2 << 21, 4096
+#: Roots and links below so many bytes are broadcast.
+SMALL = 8 << 20
 #: Pairs of segments whose keys the rounds with leaders use; see ``near_copies``.
 LEADER_ROUNDS = ((0,), (1, 2), tuple(range(3, SEGMENTS // 2)))
 
@@ -150,11 +157,32 @@ def with_prints(docs: DataFrame, text: Column, row: str, node: str, size: str, p
         node, F.xxhash64(F.coalesce(text, F.lit("")))).withColumn(row, F.monotonically_increasing_id()))
 
 
-def entries(nodes: DataFrame, wide: bool, pairs: tuple[int, ...]) -> DataFrame:
-    """(key, node, size, shared, root, l0, l1, ...): a row for each key of each node; ``shared`` is -1 where not known."""
+def used_keys(keys: DataFrame) -> bytes:
+    """Packed bitmap of the values in ``key``; its size depends on the number of possible keys alone."""
+    page = F.shiftright("key", 15)
+    made = keys.groupBy(page.cast("int").alias("page")).agg(
+        F.bitmap_construct_agg(F.col("key").bitwiseAND(F.lit(8 * PAGE - 1))).alias("bits"))
+    bitmap = np.zeros((BITMAP // PAGE, PAGE), dtype=np.uint8)
+    for found, bits in made.collect():
+        bitmap[found] = np.frombuffer(bits, dtype=np.uint8)
+    return zlib.compress(bitmap, 1)
+
+
+def entries(nodes: DataFrame, wide: bool, pairs: tuple[int, ...], used: bytes | None = None) -> DataFrame:
+    """(key, node, size, shared, root, l0, l1, ...): a row for each key of each node; ``shared`` is -1 where not known.
+
+    Only keys of the bitmap ``used`` (see ``used_keys``) if there is one.
+    """
+    sent = None if used is None else nodes.sparkSession.sparkContext.broadcast(used)
+
     @F.pandas_udf("array<bigint>")
-    def keys(prints: pd.Series) -> pd.Series:
-        return pd.Series(golay_keys(np.stack(prints.to_list()), wide, pairs) if len(prints) else [], dtype=object)
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bitmap = None if sent is None else np.frombuffer(zlib.decompress(sent.value), dtype=np.uint8)
+        for prints in batches:
+            found = golay_keys(np.stack(prints.to_list()), wide, pairs) if len(prints) else []
+            if bitmap is not None:
+                found = [some[bitmap.take(some >> 3) >> (some & 7) & 1 > 0] for some in found]
+            yield pd.Series(found, dtype=object)
 
     shared = F.col("shared") if "shared" in nodes.columns else F.lit(-1)
     return nodes.select("node", "size", shared.alias("shared"), "root",
@@ -212,7 +240,7 @@ def near_copies(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("node").agg(F.min("row").alias("row"))
     nodes = stored(rows.join(first.select("row"), "row", "left_semi").select("row", "node", "size", "prints"))
     texts = rows.select("row", "node", "text")
-    edges, grouped = None, nodes.withColumn("root", F.col("node"))
+    grouped = nodes.withColumn("root", F.col("node"))
 
     def close(a: str, b: str) -> Column:
         return F.least(f"{a}.size", f"{b}.size") >= LEAST * F.greatest(f"{a}.size", f"{b}.size")
@@ -230,17 +258,19 @@ def near_copies(rows: DataFrame) -> DataFrame:
         return texts.join(broadcast_below(stored(wanted)), "row", "left_semi")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """``nodes`` with their roots, now that ``pairs`` (a, b) were compared too."""
-        nonlocal edges
+        """``grouped`` with the roots it has now that ``pairs`` (a, b) were compared too."""
         one, two = (nodes.select(F.col("node").alias(n), F.col("prints").alias(f"p{n}")) for n in "ab")
         words = [(F.get("pa", F.lit(i)), F.get("pb", F.lit(i))) for i in range(LANES)]
         pairs = stored(pairs.distinct().join(one, "a").join(two, "b").where(
             differing(*words) <= WHOLE_RADIUS).select("a", "b"))
         chosen = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         found = verified(pairs, texts_of(chosen))
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
-        return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        for end in "ab":
+            found = stored(grouped.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}")).join(
+                broadcast_below(found, SMALL), end).drop(end))
+        moved = components(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+        moved = broadcast_below(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), SMALL)
+        return stored(grouped.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
 
     lanes = [f"l{i}" for i in range(COMPARED)]
     for number, pairs in enumerate(LEADER_ROUNDS):
@@ -252,13 +282,14 @@ def near_copies(rows: DataFrame) -> DataFrame:
         heads = heads.where("low < high").select("key", "h.*")
         grouped = linked(mine.alias("m").join(heads.alias("h"), "key").where(alike("m", "h")).select(
             F.col("h.node").alias("a"), F.col("m.node").alias("b")))
-    grouped, every = stored(grouped), tuple(range(SEGMENTS // 2))
+    every = tuple(range(SEGMENTS // 2))
     mine = stored(entries(grouped, False, every).select("key", "node", "root"))
     full = mine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     members = mine.join(full.where(F.expr(f"n >= {CROWD} AND low < high")).select("key"), "key", "left_semi").select("node").distinct()
     known = shared_shingles(stored(texts_of(members).select("node", "text")))
     grouped = stored(grouped.join(known, "node", "left").withColumn("shared", F.coalesce("shared", F.lit(-1))))
-    met = entries(grouped, False, every).alias("n").join(entries(grouped, True, every).alias("w"), "key").where(alike("n", "w"))
+    wide = entries(grouped, True, every, used_keys(mine.select("key")))
+    met = entries(grouped, False, every).alias("n").join(wide.alias("w"), "key").where(alike("n", "w"))
     pairs = met.select(F.least("n.node", "w.node").alias("a"), F.greatest("n.node", "w.node").alias("b"))
     return linked(pairs).where("root <> node").select("node", "root")
 

@@ -165,3 +165,25 @@ def test_shared_shingles_count_what_others_have(spark):
     rows = [(1, "a b c d e f g"), (2, "x a b c d e"), (3, "q r s t u"), (4, ""), (5, "A B C D E f"), (6, None)]
     got = {r.node: r.shared for r in near_copies.shared_shingles(spark.createDataFrame(rows, "node long, text string")).collect()}
     assert got == {1: 2, 2: 1, 3: 0, 4: 0, 5: 2, 6: 0}
+
+
+def test_wide_keys_that_no_text_has_are_not_sent(spark):
+    """What meets is the same; a wide key is sent if and only if some text has it as its nearest."""
+    texts = copies(3)
+    made = [(i, len(s), [int(x) for x in near_copies.fingerprints(s)], i) for i, s in enumerate(map(near_copies.shingles, texts))]
+    nodes = spark.createDataFrame(made, "node long, size int, prints array<bigint>, root long")
+    every = tuple(range(near_copies.SEGMENTS // 2))
+    narrow = near_copies.entries(nodes, False, every)
+    whole = {(r.key, r.node) for r in near_copies.entries(nodes, True, every).select("key", "node").collect()}
+    sent = near_copies.entries(nodes, True, every, near_copies.used_keys(narrow.select("key"))).select("key", "node").collect()
+    has = {r.key for r in narrow.select("key").collect()}
+    assert {(r.key, r.node) for r in sent} == {(k, n) for k, n in whole if k in has}
+    assert len(sent) < len(whole) / 10
+
+
+def test_bitmap_has_the_first_and_the_last_key(spark):
+    import zlib
+
+    last = near_copies.BITMAP * 8 - 1
+    bits = np.frombuffer(zlib.decompress(near_copies.used_keys(spark.createDataFrame([(0,), (9,), (40000,), (last,), (9,)], "key long"))), np.uint8)
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == [0, 9, 40000, last]
