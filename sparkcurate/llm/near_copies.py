@@ -157,18 +157,26 @@ def with_prints(docs: DataFrame, text: Column, row: str, node: str, size: str, p
         node, F.xxhash64(F.coalesce(text, F.lit("")))).withColumn(row, F.monotonically_increasing_id()))
 
 
-def used_keys(keys: DataFrame) -> bytes:
-    """Packed bitmap of the values in ``key``; its size depends on the number of possible keys alone."""
-    page = F.shiftright("key", 15)
-    made = keys.groupBy(page.cast("int").alias("page")).agg(
+def used_keys(keys: DataFrame) -> dict[int, bytes]:
+    """Bitmap of the values in ``key`` by page, packed in the tasks; its size depends on the number of possible keys alone."""
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(bits=[zlib.compress(bits, 1) for bits in batch["bits"]])
+
+    made = small_batches(keys).groupBy(F.shiftright("key", 15).cast("int").alias("page")).agg(
         F.bitmap_construct_agg(F.col("key").bitwiseAND(F.lit(8 * PAGE - 1))).alias("bits"))
+    return {r.page: bytes(r.bits) for r in made.mapInPandas(packed, "page int, bits binary").collect()}
+
+
+def whole_bitmap(used: dict[int, bytes]) -> np.ndarray:
+    """The pages of ``used_keys`` as one array of bytes."""
     bitmap = np.zeros((BITMAP // PAGE, PAGE), dtype=np.uint8)
-    for found, bits in made.collect():
-        bitmap[found] = np.frombuffer(bits, dtype=np.uint8)
-    return zlib.compress(bitmap, 1)
+    for page, bits in used.items():
+        bitmap[page] = np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
+    return bitmap.reshape(-1)
 
 
-def entries(nodes: DataFrame, wide: bool, pairs: tuple[int, ...], used: bytes | None = None) -> DataFrame:
+def entries(nodes: DataFrame, wide: bool, pairs: tuple[int, ...], used: dict[int, bytes] | None = None) -> DataFrame:
     """(key, node, size, shared, root, l0, l1, ...): a row for each key of each node; ``shared`` is -1 where not known.
 
     Only keys of the bitmap ``used`` (see ``used_keys``) if there is one.
@@ -177,7 +185,7 @@ def entries(nodes: DataFrame, wide: bool, pairs: tuple[int, ...], used: bytes |
 
     @F.pandas_udf("array<bigint>")
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bitmap = None if sent is None else np.frombuffer(zlib.decompress(sent.value), dtype=np.uint8)
+        bitmap = None if sent is None else whole_bitmap(sent.value)
         for prints in batches:
             found = golay_keys(np.stack(prints.to_list()), wide, pairs) if len(prints) else []
             if bitmap is not None:
