@@ -138,7 +138,8 @@ def fingerprint_links(nodes: DataFrame, segments: int = 4, radius: int = 4) -> D
     left = nodes.select(F.col("fp").alias("a"), F.explode(keys_of(False)("fp")).alias("key"))
     right = nodes.select(F.col("fp").alias("b"), F.explode(keys_of(True)("fp")).alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    # Spark takes the keys for no larger than the nodes they come from and would broadcast all of them.
+    return left.join(right.hint("merge"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,7 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "id", F.coalesce("root", "fp").alias("root"))
     names = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = grouped.join(names, "root").select(F.col("fp").alias("of"), "component_id")
+    # A file of rows with few fingerprints says little of their number: neither side is broadcast by it.
+    named = grouped.join(names, "root").select(F.col("fp").alias("of"), "component_id").hint("merge")
     return rows.join(named, rows["fp"] == named["of"]).select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",

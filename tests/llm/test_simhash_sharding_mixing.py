@@ -77,6 +77,13 @@ def test_groups_equal_brute_force(spark):
     assert found == brute_groups(rows)
 
 
+def test_keys_of_small_tables_are_not_broadcast(spark):
+    """190 keys a node at most: a table of nodes below the broadcast threshold says nothing of their size."""
+    nodes = stored(spark.range(2000).select(F.xxhash64("id").alias("fp")))
+    plan = simhash.fingerprint_links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_stars_are_components_without_a_round(spark, monkeypatch):
     """Edges that hang on roots already are written once: the driver plans no round that changes nothing."""
     written = []
