@@ -121,6 +121,50 @@ def test_tables_learn_from_every_training_document(spark):
     assert model.words.any() and model.three.any()
 
 
+def test_first_weights_are_learnt_from_every_training_document(spark):
+    rng = random.Random(9)
+    rows = [(n, " ".join(rng.choices(["said", "the", "word", "of", f"word{n}"], k=rng.randint(1, 30)))) for n in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    found = [lm_scoring.train(d, lm_scoring.token_counts(d), slots_log2=16) for d in (docs.coalesce(1), docs.repartition(5))]
+    start = lm_scoring.Model(found[0].code, {}, {}, 16).weights
+    assert (found[0].weights != start).any() and found[0].weights == pytest.approx(found[1].weights, abs=1e-6)
+    half = {r.id: r.half for r in docs.select("id", lm_scoring.half_of(docs["id"]).alias("half")).collect()}
+    assert set(half.values()) == {0, 1}
+    # Every bit of every text chose a gate, and a text that is left out is missed.
+    some = docs.where("id <> 7")
+    bits = [int(lm_scoring.end_weights(d, found[0])[-1].sum()) for d in (docs, some)]
+    alone = np.zeros((5, lm_scoring.GATES), dtype=np.int64)
+    found[0].costs([lm_scoring.tokens_of(rows[7][1])], alone)
+    assert bits[0] - bits[1] == alone[-1].sum() > 0
+
+
+def test_a_half_has_the_counts_of_its_own_texts(spark):
+    rows = [(n, f"a common part{n % 3} of word{n}") for n in range(30)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    half = {r.id: r.half for r in docs.select("id", lm_scoring.half_of(docs["id"]).alias("half")).collect()}
+    want = {h: Counter(w for n, t in rows if half[n] == h for w in [*t.split(), ""]) for h in (0, 1)}
+    for r in lm_scoring.token_counts(docs).collect():
+        token = bytes(r.token).decode()
+        assert (r.n - r.n1, r.n1) == (want[0][token], want[1][token])
+        assert (r.ends, r.ends1) == tuple(sum(t.endswith(" " + token) for n, t in rows if token and half[n] in some) for some in ((0, 1), (1,)))
+
+
+def test_bytes_without_a_code_are_told_by_their_counts(spark):
+    """More bytes than there are codes: those left over cost what the corpus says of them, not eight bits each."""
+    rng = np.random.default_rng(2)
+    symbol = lm_scoring.symbols_of(rng.integers(1, 1000, 256))
+    counts = np.where(symbol == lm_scoring.CODES - 1, rng.integers(0, 3, (256, 256)), 0)
+    shares = 2.0 ** -lm_scoring.escape_bits(symbol, counts).reshape(256, 256)
+    assert shares.sum(axis=1) == pytest.approx(np.ones(256))
+    letters = "".join(chr(c) for c in range(0x21, 0x5F)) + "abcdefghijklmnopqrstuvwxyz{|}~"
+    rows = [(n, f"{letters} \u4e2d\u6587") for n in range(12)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    model = lm_scoring.train(docs, lm_scoring.token_counts(docs), slots_log2=16)
+    data = np.frombuffer(lm_scoring.coded(lm_scoring.tokens_of(rows[0][1])), dtype=np.uint8)
+    at, keys = lm_scoring.escaped(data, model.code.symbol[data], np.zeros(1, dtype=np.int64))
+    assert len(at) and model.escapes[keys].mean() < 3
+
+
 def small_model():
     rng = np.random.default_rng(5)
     symbol = lm_scoring.symbols_of(np.bincount(np.frombuffer(b"abcdef ghi   \n" * 30, np.uint8), minlength=256))
